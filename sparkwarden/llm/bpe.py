@@ -506,7 +506,7 @@ def encode_decode(df: DataFrame, id_column: str = "doc_id", text_column: str = "
                 part = texts.slice(lo, hi - lo)
                 ids, offsets = encoder.encode(part)
                 flat, cuts = ids.tolist(), offsets.tolist()
-                same = [decode(merges, flat[a:b]) == t for a, b, t in zip(cuts, cuts[1:], part.to_pylist(), strict=True)]
+                same = [decode(merges, flat[a:b]) == t for a, b, t in zip(cuts[:-1], cuts[1:], part.to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [ids_column.slice(lo, hi - lo), pa.array(np.diff(offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(same, pa.bool_())],
                     names=["doc_id", "n_tokens", "token_ids", "restored"],

@@ -242,6 +242,7 @@ def neighbours(df: DataFrame, id_column: str = "vec_id", vector_column: str = "e
         here = placed.select("vec_id", "v", "cell", "code", "length", "inner").join(F.broadcast(cut), "cell")
         here = here.withColumn("d", F.pmod(F.xxhash64("vec_id"), F.col("dp")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col(queries) - 1))).drop("dp", "op", "qp")
         there = asked.join(F.broadcast(cut), "cell").withColumn("q", F.pmod(F.xxhash64("vec_id"), F.col(queries)).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("dp") - 1))).drop("dp", "op", "qp")
+        there = there.select(*(F.col(x).alias(x) for x in there.columns))  # columns of its own: both sides come from one table
         return here.groupBy("cell", "d", "q").cogroup(there.groupBy("cell", "d", "q")).applyInArrow(_search(k, epsilon, c_held, turn_held), _PAIRS)
 
     nth = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))
