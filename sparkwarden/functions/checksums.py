@@ -53,7 +53,7 @@ def is_german_tax_id(digits: str) -> bool:
 
 
 def luhn_column(digits: Column) -> Column:
-    return F.coalesce(digits.rlike(r"\A[0-9]{2,}\z") & F.luhn_check(digits), F.lit(False))
+    return F.coalesce(digits.rlike(r"\A[0-9]{2,}\z") & F.call_function("luhn_check", digits), F.lit(False))
 
 
 def iban_column(value: Column) -> Column:

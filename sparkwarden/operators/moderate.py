@@ -81,12 +81,13 @@ def summarize(results: DataFrame) -> DataFrame:
     """One row of counts; ``pii_by_kind`` is a map."""
     asked = F.col("ai").isNotNull() & ~F.coalesce(F.col("ai.status").isin("skipped", "disabled"), F.lit(True))
     count = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0))
+    of_kind = lambda k: F.coalesce(F.sum(F.size(F.filter("pii", lambda p: p["kind"] == k)).cast("long")), F.lit(0))
     totals = results.agg(
         F.count(F.lit(1)).alias("processed"), count(F.col("flagged")).alias("flagged"), count(F.col("matched_list")).alias("matched_list"),
         count(F.size("pii") > 0).alias("pii_records"), F.coalesce(F.sum(F.size("pii").cast("long")), F.lit(0)).alias("pii_findings"),
         count(asked).alias("ai_calls"), count(F.col("ai.flagged")).alias("ai_flagged"), count(F.col("ai.status") == "error").alias("ai_errors"), count(F.col("error").isNotNull()).alias("errors"),
         count(F.col("ai.reason") == models.OVER_BUDGET).alias("ai_over_budget"),
-        *(F.coalesce(F.sum(F.size(F.filter("pii", lambda p, k=k: p["kind"] == k)).cast("long")), F.lit(0)).alias(f"k{i}") for i, k in enumerate(columns.pii.KINDS)),
+        *(of_kind(k).alias(f"k{i}") for i, k in enumerate(columns.pii.KINDS)),
     )
     kinds = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, columns.pii.KINDS)), F.array(*(f"k{i}" for i in range(len(columns.pii.KINDS))))), lambda _, n: n > 0)
     return totals.withColumn("pii_by_kind", kinds).withColumn("ai_budget_exhausted", F.col("ai_over_budget") > 0).drop("ai_over_budget", *(f"k{i}" for i in range(len(columns.pii.KINDS))))

@@ -1,0 +1,70 @@
+"""Moderation of streams, with running totals and windowed limits."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+
+from ..operators.moderate import ModerateOptions, moderate
+
+
+def stream(df: DataFrame, sink: str, checkpoint: str, options: ModerateOptions = ModerateOptions(), text_column: str = "text", id_column: str | None = None, available_now: bool = True) -> StreamingQuery:
+    """Results of a stream as Parquet files, each record just once.  ``query.stop()`` aborts."""
+    if options.max_calls is not None:
+        raise ValueError("a call budget spans batches: use moderated_batches")
+    writer = moderate(df, options, text_column, id_column).drop("index").writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def moderated_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, options: ModerateOptions = ModerateOptions(), text_column: str = "text", id_column: str | None = None) -> StreamingQuery:
+    """``each(results, batch_id)`` for every batch; a call budget runs on from batch to batch."""
+    from dataclasses import replace
+
+    spent = {"calls": 0}
+
+    def run(batch: DataFrame, number: int) -> None:
+        own = options if options.max_calls is None else replace(options, max_calls=max(0, options.max_calls - spent["calls"]))
+        results = moderate(batch, own, text_column, id_column).persist()
+        each(results, number)
+        if options.max_calls is not None:
+            spent["calls"] += results.where("ai is not null and ai.status <> 'skipped'").count()
+        results.unpersist()
+
+    return df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def running_totals(results: DataFrame) -> DataFrame:
+    """For ``complete`` mode: one row of counts."""
+    return results.agg(F.count(F.lit(1)).alias("processed"), F.sum(F.col("flagged").cast("long")).alias("flagged"), F.sum(F.size("pii").cast("long")).alias("pii_findings"))
+
+
+def over_limit(df: DataFrame, key: str, at: str, most: int = 20, window: str = "1 minute", late: str | None = None) -> DataFrame:
+    """``window_start, <key>, requests``: keys with more than ``most`` rows in a tumbling window."""
+    rows = df.withWatermark(at, late) if late else df
+    counted = rows.groupBy(F.window(at, window).alias("w"), key).agg(F.count(F.lit(1)).alias("requests"))
+    return counted.where(F.col("requests") > most).select(F.col("w.start").alias("window_start"), key, "requests")
+
+
+def observed(df: DataFrame, name: str, flagged: Column) -> DataFrame:
+    """Counts on the way, without a job of their own."""
+    return df.observe(name, F.count(F.lit(1)).alias("processed"), F.sum(flagged.cast("long")).alias("flagged"))
+
+
+class Progress(StreamingQueryListener):
+    """Calls ``tell(rows so far, rows per second)`` after each batch."""
+
+    def __init__(self, tell: Callable[[int, float], None]):
+        self.tell, self.rows = tell, 0
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        self.tell(self.rows, event.progress.processedRowsPerSecond)
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
