@@ -38,6 +38,8 @@ from pyspark.sql import types as T
 
 from .storage import stored
 
+#: Estimates made at once, and vectors compared exactly at once: what bounds a task's memory.
+PAIRS, RERANKED = 1 << 20, 1 << 14
 _PAIRS = "vec_id long, neighbour_id long, similarity double"
 
 
@@ -177,7 +179,7 @@ def _search(k: int, epsilon: float, c_held, turn_held):
             length, inner = data.column("length").to_numpy()[order], data.column("inner").to_numpy()[order]
             along = x @ center
             names, q, limits = asked.column("vec_id").to_numpy(), matrix(asked.column("v")), asked.column("least").to_numpy()
-            chunk = max(1, (1 << 22) // len(ids))
+            chunk = max(1, PAIRS // len(ids))
             for lo in range(0, len(names), chunk):
                 part, qs = names[lo : lo + chunk], q[lo : lo + chunk]
                 # <o, q> = <o, c> + <o, q - c> and <o, q - c> = <c, q - c> + <o - c, q - c>
@@ -189,7 +191,11 @@ def _search(k: int, epsilon: float, c_held, turn_held):
                 if len(ids) > k:
                     floor = np.maximum(floor, np.partition(guess - slack, len(ids) - k, axis=1)[:, len(ids) - k])
                 row, col = np.nonzero(guess + slack >= floor[:, None])
-                exact = np.round(np.einsum("ij,ij->i", qs[row], x[col]), 6)
+                exact = np.empty(len(row))
+                for at in range(0, len(row), RERANKED):  # pairs of whole vectors: a few at a time
+                    some = slice(at, at + RERANKED)
+                    exact[some] = np.einsum("ij,ij->i", qs[row[some]], x[col[some]])
+                exact = np.round(exact, 6)
                 by = np.lexsort((col, -exact, row))
                 row, col, exact = row[by], col[by], exact[by]
                 start = np.searchsorted(row, row)
