@@ -30,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
+from .storage import free_name
 
 STATISTICS = ("words", "mean_word", "longest_word", "upper", "digits", "symbols", "bangs", "bars", "stops", "commas", "lines", "distinct", "repeats", "wide")
 SAMPLE_ROWS = 12_000
 THRESHOLD = 0.5
-_MARK = "__quality"
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -276,4 +276,5 @@ def scored(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_col
 def filtered(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``df`` that are kept, with all its columns."""
     model = fitted(df, labels, id_column, text_column, sample_rows=sample_rows)
-    return df.withColumn(_MARK, statistics_column(df[text_column])).where(F.round(model.column(F.col(_MARK)), 6) >= threshold).drop(_MARK)
+    mark = free_name(df, "statistics")
+    return df.withColumn(mark, statistics_column(df[text_column])).where(F.round(model.column(F.col(mark)), 6) >= threshold).drop(mark)

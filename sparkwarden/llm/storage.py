@@ -34,3 +34,11 @@ def dropped(df: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(file).getParent()
         if str(path.toString()).startswith(folder(spark)) or folder(spark).split(":")[-1] in str(path.toString()):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it new to ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -1,0 +1,243 @@
+"""Operators against brute force, without Spark."""
+
+import base64
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sparkwarden.llm import anchors, arrays, bpe, crf, minhash, ngram_ratio, packing, rotated_codes, rule_ensemble, sharding, tokenbits
+
+TEXTS = ["", " ", "a", "one two three", "Ünïcode wörds — and, punctuation!", "x " * 500, "same same same", "日本語 text 12 34", "l'été d'un ami isn't"]
+
+
+def large(texts):
+    return arrays.text_column(pa.array(texts, pa.string()))
+
+
+@pytest.fixture(scope="module")
+def merges():
+    return bpe.merge_list(bpe.DEFAULT_VOCABULARY)
+
+
+@pytest.fixture(scope="module")
+def reference():
+    import public_tokenizers
+    import tiktoken
+
+    with open(bpe.DEFAULT_VOCABULARY, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=60), max_size=4))
+def test_bpe_is_the_library_s_encoding(texts):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.read_ranks(bpe.DEFAULT_VOCABULARY)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids, at = bpe.transducing_encoder(bpe.DEFAULT_VOCABULARY).encode(large(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [known.encode_ordinary(t) for t in texts]
+
+
+def test_transducer_streams_in_constant_memory(merges, reference):
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdeftheringüé") for _ in range(30_000)).encode()
+    whole = reference._core_bpe.encode_single_piece(word)
+    one, out, most = bpe.Transducer(merges, block=256), [], 0
+    for lo in range(0, len(word), 97):
+        out += one.feed(word[lo : lo + 97])
+        most = max(most, len(one.bytes))
+    assert out + one.finish() == whole
+    assert most <= merges.lookahead + merges.longest + 2 * 256
+
+
+@given(st.text(max_size=200), st.integers(1, 7))
+def test_decoder_gives_whole_characters(text, step):
+    data, machine = text.encode(), bpe.TextDecoder()
+    parts = [machine.feed(data[i : i + step]) for i in range(0, len(data), step)]
+    assert "".join(parts) + machine.finish() == text
+
+
+@given(st.lists(st.integers(0, 50_255), max_size=9000), st.integers(0, 9000), st.integers(0, 9000))
+@settings(max_examples=40, deadline=None)
+def test_bit_packing_round_trip(ids, lo, hi):
+    blob = tokenbits.Blob(tokenbits.pack(np.array(ids, np.int64), 16))
+    assert blob.read().tolist() == ids
+    assert blob.read(lo, hi).tolist() == ids[lo:hi]
+    assert tokenbits.width(50_256) == 16 and tokenbits.width(2) == 1 and tokenbits.width(49_408) == 16
+
+
+def test_bit_packing_rejects_what_does_not_fit():
+    with pytest.raises(ValueError):
+        tokenbits.pack(np.array([8]), 3)
+
+
+@given(st.lists(st.integers(0, 50), min_size=1, max_size=12), st.integers(1, 5))
+@settings(max_examples=150, deadline=None)
+def test_shard_capacity_is_the_least(sizes, shards):
+    sums = [sum(sizes[i : i + 3]) for i in range(0, len(sizes), 3)]
+    counts = [len(sizes[i : i + 3]) for i in range(0, len(sizes), 3)]
+    groups = sharding.Groups(np.array(sums), np.array(counts), lambda j: np.array(sizes[3 * j : 3 * j + 3]))
+
+    def least(rest, k):
+        if k == 1 or not rest:
+            return sum(rest)
+        return min(max(sum(rest[:i]), least(rest[i:], k - 1)) for i in range(1, len(rest) + 1))
+
+    assert sharding.smallest_capacity(groups, max(sizes), shards) == least(sizes, shards)
+
+
+@given(st.lists(st.integers(1, 100), max_size=200), st.integers(1, 6))
+@settings(max_examples=80, deadline=None)
+def test_packer_is_bounded_best_fit(sizes, most):
+    packer, out = packing.Packer(100, most), []
+    for i, size in enumerate(sizes):
+        rooms = sorted(r for r, _ in packer.room)
+        fit = next((r for r in rooms if r >= size), None)
+        given_out = packer.add(size, [(i, 0, size)])
+        assert len(packer.room) <= most
+        if fit is None and len(rooms) == most:
+            assert given_out[0][0] == 100 - rooms[0]  # the fullest
+        out += given_out
+    out += packer.close()
+    assert sorted(p[0] for _, pieces in out for p in pieces) == list(range(len(sizes)))
+    assert all(used == sum(p[2] for p in pieces) <= 100 for used, pieces in out)
+
+
+def test_statistics_by_hand():
+    row = dict(zip(rule_ensemble.STATISTICS, rule_ensemble.statistics(large(["Go GO go! | a1 a1 $.\n"]))[0]))
+    assert row["words"] == 5 and row["longest_word"] == 2 and row["bangs"] == 0.2 and row["bars"] == 0.2 and row["symbols"] == 0.2
+    assert row["distinct"] == 0.8 and row["repeats"] == 0.2 and row["digits"] == 0.4
+    assert not rule_ensemble.statistics(large(["", " ", "!!!"])).any()
+
+
+def test_rules_learn_and_agree_with_their_model():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, len(rule_ensemble.STATISTICS))) + 0.1
+    y = ((x[:, 3] < 0.6) & (x[:, 5] < 0.9)).astype(int)
+    model = rule_ensemble.trained(x[:2000], y[:2000])
+    assert ((model.probability(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.97
+    assert 0 < len(model.rules) <= 48
+    assert rule_ensemble.trained(x, np.ones(3000, int)).rules == []
+
+
+@given(st.lists(st.sampled_from(TEXTS), max_size=5))
+@settings(max_examples=30, deadline=None)
+def test_grams_do_not_depend_on_neighbours(texts):
+    at, per = ngram_ratio.grams(large(texts), 997)
+    alone = [ngram_ratio.grams(large([t]), 997) for t in texts]
+    assert per.tolist() == [int(p[0]) for _, p in alone]
+    assert at.tolist() == [x for a, _ in alone for x in a.tolist()]
+
+
+def test_minmax_values_estimate_jaccard():
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(400)]
+    for changed in (0, 20, 60):
+        other = list(base)
+        for i in rng.sample(range(400), changed):
+            other[i] = rng.choice(words)
+        sets = [{tuple(x[i : i + 3]) for i in range(398)} for x in (base, other)]
+        true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        _, s = minhash.signatures(large([" ".join(base), " ".join(other)]), 3, 512)
+        assert abs((s[0] == s[1]).mean() - true) < 0.08
+    rows, s = minhash.signatures(large(["", "!!", "a"]), 3, 8)
+    assert rows.tolist() == [2] and s.shape == (1, 8)
+
+
+def test_one_bit_codes_are_unbiased_within_bounds():
+    rng = np.random.default_rng(2)
+    o, q = rng.standard_normal((2000, 64)), rng.standard_normal((50, 64))
+    turn = rotated_codes.rotation(64)
+    assert np.allclose(turn @ turn.T, np.eye(64))
+    guess, slack = rotated_codes.estimate(*rotated_codes.encode(o, turn), q, turn, 2.5)
+    error = guess - q @ o.T
+    assert abs(error.mean()) < 0.05
+    assert (np.abs(error) <= slack).mean() > 0.97
+
+
+def brute_marginals(chain, scores, fresh):
+    k = scores.shape[1]
+    e = np.exp(scores)
+    out = []
+    starts = [*np.flatnonzero(fresh), len(scores)]
+    for a, b in zip(starts[:-1], starts[1:]):
+        total = np.zeros((b - a, k))
+        for path in np.ndindex(*([k] * (b - a))):
+            p = chain.initial[path[0]] * e[a, path[0]]
+            for i in range(1, b - a):
+                p *= chain.transitions[path[i - 1], path[i]] * e[a + i, path[i]]
+            for i, state in enumerate(path):
+                total[i, state] += p
+        out.append(total / total.sum(1, keepdims=True))
+    return np.concatenate(out)
+
+
+@pytest.mark.parametrize("lanes", [1, 2, 3, 5, 11, None])
+def test_forward_backward_is_exact_however_it_is_cut(lanes):
+    rng = np.random.default_rng(3)
+    scores = rng.standard_normal((11, 3))
+    fresh = np.zeros(11, bool)
+    fresh[[0, 4, 5]] = True
+    chain = crf.Chain(np.exp(rng.standard_normal((3, 3))), np.array([0.2, 0.5, 0.3]))
+    p, pairs = chain.marginals(scores, fresh, lanes, pairs=True)
+    assert np.allclose(p, brute_marginals(chain, scores, fresh))
+    assert np.isclose(pairs.sum(), 8)
+
+
+def test_crf_labels_words_of_switched_text():
+    rng = random.Random(5)
+    kinds = {"en": ["the", "thing", "with", "ship", "other", "when"], "de": ["der", "schatz", "und", "nicht", "schön", "ich"]}
+    make = lambda lang, n: [rng.choice(kinds[lang]) + rng.choice(["", "en" if lang == "de" else "ing"]) for _ in range(n)]
+    texts = [" ".join(make(lang, 200)) for lang in ("en", "de") for _ in range(10)]
+    model = crf.trained(texts, ["en"] * 10 + ["de"] * 10)
+    mixed = make("en", 30) + make("de", 30)
+    best, share, counts, (doc, lang, first, words) = crf.Labeller(model).label(large([" ".join(mixed), "", "12 34"]))
+    assert counts.tolist() == [60, 0, 2] and best[1] == -1
+    labels = np.repeat(lang[doc == 0], words[doc == 0])
+    want = np.array([model.languages.index("en")] * 30 + [model.languages.index("de")] * 30)
+    assert (labels == want).mean() > 0.95 and 0.45 < share[0] < 0.6
+
+
+PRIVATE = [
+    ("mail anna.b+x@mail2.example.com now", "email", "anna.b+x@mail2.example.com"),
+    ("call +1 (729) 555-7725.", "phone", "+1 (729) 555-7725"),
+    ("from 182.29.63.135 and", "ip", "182.29.63.135"),
+    ("at 2001:db8::1 today", "ip", "2001:db8::1"),
+    ("card 4111 1111 1111 1111 ok", "card", "4111 1111 1111 1111"),
+    ("number 4111111111111111.", "card", "4111111111111111"),
+    ("pay DE89 3704 0044 0532 0130 00 soon", "iban", "DE89 3704 0044 0532 0130 00"),
+    ('TOKEN = "027AEA05EB92C454086E6575CD38D76A"!!', "secret", "027AEA05EB92C454086E6575CD38D76A"),
+    ("account number: 12345678", "account", "12345678"),
+    ("ssn 123-45-6789", "ssn", "123-45-6789"),
+    ("see https://bob:pw12@host.example/x", "url", "https://bob:pw12@host.example/x"),
+]
+
+
+@pytest.mark.parametrize("text,kind,value", PRIVATE)
+def test_private_data_is_found_whole(text, kind, value):
+    found = anchors.find(text)
+    assert [(k, text[a:b]) for a, b, k in found] == [(kind, value)]
+    assert value not in anchors.redact(text, found) and f"[{kind.upper()}]" in anchors.redact(text, found)
+
+
+@pytest.mark.parametrize("text", ["", "no data", "number 4111111111111112", "version 1.2.3.4", "256.1.1.1", "a@b", "the token of trust", "12.05.2026", "https://example.com/page", "tokens = many", "@" * 50, "+" * 50, "1 2 3 4 5 6 7"])
+def test_clean_text_is_left_alone(text):
+    assert anchors.find(text) == []
+
+
+def test_private_data_in_very_long_text_takes_linear_time():
+    import time
+
+    began = time.time()
+    for unit in ("1", "1 ", "@", "a@", "://", "token=", "+1", ":", "a.", '"'):
+        anchors.find(unit * (400_000 // len(unit)))
+    assert time.time() - began < 60
+    assert anchors.find("x " * 300_000 + "a.b@c.example.com")[0][2] == "email"
