@@ -53,7 +53,7 @@ def moderate(df: DataFrame, options: ModerateOptions = ModerateOptions(), text_c
     if isinstance(options.gate, str) and options.gate not in GATES:
         raise ValueError(f"unknown gate {options.gate!r}; known: {', '.join(GATES)}")
     text = df[text_column].cast("string")
-    index = df[index_column].cast("long") if index_column else F.monotonically_increasing_id()
+    index = df[index_column].cast("long") if index_column else F.lit(None).cast("long") if df.isStreaming else F.monotonically_increasing_id()
     rows = df.select(index.alias("index"), (df[id_column].cast("string") if id_column else F.lit(None).cast("string")).alias("id"), text.alias("text"))
     if options.filter or options.pii:
         rows = rows.withColumn("a", columns.analysis(F.col("text"), options.filter, options.pii))

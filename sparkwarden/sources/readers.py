@@ -103,7 +103,7 @@ def _strict_csv(spark: SparkSession, path: str, delimiter: str, header: bool) ->
                 for lo in range(0, len(found), 4096):
                     yield pa.RecordBatch.from_arrays([pa.array(range(lo, min(lo + 4096, len(found))), pa.int64()), pa.array(found[lo : lo + 4096], pa.list_(pa.string()))], names=["n", "f"])
 
-    rows = spark.read.option("wholetext", True).text(path).mapInArrow(run, "n long, f array<string>")
+    rows = spark.read.text(path, wholetext=True).mapInArrow(run, "n long, f array<string>")
     first = rows.where("n = 0").select("f").first()
     names = list(first["f"]) if first and header else [f"_c{i}" for i in range(len(first["f"]) if first else 0)]
     body = rows.where("n > 0") if header else rows
