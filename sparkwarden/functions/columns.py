@@ -65,8 +65,19 @@ def may_be_flagged(text: Column, options: FilterOptions) -> Column:
         return F.lit(False)
     if any("\\k<" in s or "(?<" in s.replace("(?<!", "").replace("(?<=", "") for s in lists.block):
         return F.lit(True)  # named groups are renamed between dialects
-    gate = text.rlike(patterns.java_source(lists.block, options.aggressive)) | text.rlike("[İıſK]")
-    return gate | text.rlike(kernel.JAVA_GATE) if options.aggressive else gate
+    gate = may_match(text, lists.block, options.aggressive) | text.rlike("[İıſK]")
+    if options.aggressive:
+        for pattern in kernel.JAVA_GATES:
+            gate = gate | text.rlike(pattern)
+    return gate
+
+
+def may_match(text: Column, stems: tuple[str, ...], aggressive: bool) -> Column:
+    """True wherever a stem is found, and seldom else."""
+    quick = patterns.java_gate(stems, aggressive)
+    if quick is None:
+        return text.rlike(patterns.java_source(stems, aggressive))
+    return F.lower(F.translate(text, "İſ", "ʘs")).rlike(quick)
 
 
 def may_hold_pii(text: Column) -> Column:
@@ -130,7 +141,7 @@ def words_with_hits(text: Column, options: FilterOptions) -> Column:
     if lists.allow:
         allow = patterns.java_source(lists.allow, False, True)
         words = F.filter(words, lambda w: ~w.rlike(allow))
-    return F.when(text.rlike(block), words).otherwise(F.array().cast("array<string>"))
+    return F.when(may_match(text, lists.block, False), words).otherwise(F.array().cast("array<string>"))
 
 
 def _literal_words(text: Column, options: FilterOptions) -> Column:

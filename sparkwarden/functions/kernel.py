@@ -23,8 +23,12 @@ _BLANK = regex.compile("[" + patterns.JS_SPACE + "]*")
 #: Stands in for the dotted capital I, which must not fold with i: a letter without case.
 _DOTTED, _SHIELD = "İ", "ʘ"
 
-#: What the same gate is for Spark; rows that it lets through go to the kernel.
-JAVA_GATE = r"[\p{Cf}\p{M}]|(.)\1{2,}|[^\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u012F\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0391-\u03A9\u03B1-\u03C9\u0401\u0410-\u044F\u0451\u1E9E\u2013\u2014\u2018-\u201E\u2022\u20AC]|(?<!\p{L})(?:\p{L}[\s\x0B._*+~|\-]+){2,}\p{L}(?!\p{L})"
+#: What the same gate is for Spark, one simple pattern after the other; rows in which any is found go to the kernel.
+JAVA_GATES = (
+    r"[\p{Cf}\p{M}[^\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u012F\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0391-\u03A9\u03B1-\u03C9\u0401\u0410-\u044F\u0451\u1E9E\u2013\u2014\u2018-\u201E\u2022\u20AC]]",
+    r"(.)\1\1",
+    rf"\p{{L}}(?<!\p{{L}}\p{{L}})[{patterns.JS_SPACE}._*+~|\-]+\p{{L}}[{patterns.JS_SPACE}._*+~|\-]+\p{{L}}(?!\p{{L}})",
+)
 
 
 def needs_rewrite(text: str) -> bool:

@@ -84,6 +84,34 @@ def java_source(stems: tuple[str, ...], aggressive: bool, anchored: bool = False
     return rf"(?iu)\A(?:{source})\z" if anchored else f"(?iu)(?:{source})"
 
 
+@lru_cache(maxsize=256)
+def java_gate(stems: tuple[str, ...], aggressive: bool) -> str | None:
+    """Over lower-case text, a pattern that is found wherever a stem is: plain stems as a tree by
+    their letters, behind a look at the first.  None if stems aren't plain."""
+    if quick_regex(stems, aggressive) is None:
+        return None
+    head, tail = whole_word("\0").split("\0")
+    plain = [s.removeprefix(head).removesuffix(tail) for s in stems]
+    letter = lambda c: expand(c) if aggressive else c
+    tree: dict = {}
+    for stem in plain:
+        if stem.isalpha():
+            node = tree
+            for c in stem:
+                node = node.setdefault(c, {})
+            node[""] = {}
+
+    def source(node: dict) -> str:
+        if "" in node:
+            return ""  # what is longer adds nothing
+        parts = [letter(c) + source(below) for c, below in node.items()]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    others = [alternation((s,), aggressive) for s in plain if not s.isalpha()]
+    first = "".join(dict.fromkeys(x for s in plain for x in letter(s[0]).strip("[]")))
+    return f"(?=[{first}])(?:{'|'.join([*([source(tree)] if tree else []), *others])})"
+
+
 class PatternError(ValueError):
     """A stem that is not a valid pattern."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.patterns import JS_SPACE
 
 #: Column names that are taken for the text, the first that is there.
-TEXT_NAMES = ("text", "message", "content", "body", "comment", "post", "nachricht", "kommentar", "inhalt", "beitrag")
+TEXT_NAMES = tuple("text message comment body content msg review nachricht kommentar inhalt".split())
 REASONS = ("json", "not-object", "no-text")
 
 
