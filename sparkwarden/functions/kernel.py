@@ -5,6 +5,7 @@ Pure functions on one text; Spark columns over them are in :mod:`.columns`.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from bisect import bisect_right
 
@@ -16,7 +17,10 @@ from .registry import FilterOptions
 _SPACED = r"(?<!\p{L})(?:\p{L}[" + patterns.JS_SPACE + r"._*+~|\-]+){2,}\p{L}(?!\p{L})"
 _RUN = regex.compile(_SPACED)
 _GAP = regex.compile("[" + patterns.JS_SPACE + r"._*+~|\-]")
-_GATE = regex.compile(r"[\p{Cf}\p{M}]|([^\n\r\u2028\u2029])\1{2,}|" + _SPACED)
+_HIDDEN = regex.compile(r"[\p{Cf}\p{M}]")
+_REPEAT = re.compile("([^\\n\\r\\u2028\\u2029])\\1\\1")
+#: Three single letters are enough to know that there is a run.
+_THREE = regex.compile(r"\p{L}(?<!\p{L}\p{L})" + (f"[{patterns.JS_SPACE}" + r"._*+~|\-]+\p{L}") * 2 + r"(?!\p{L})")
 _MARK = regex.compile(r"\p{M}")
 _WORD = regex.compile(patterns.WORD)
 _BLANK = regex.compile("[" + patterns.JS_SPACE + "]*")
@@ -32,7 +36,9 @@ JAVA_GATES = (
 
 
 def needs_rewrite(text: str) -> bool:
-    return _GATE.search(text) is not None or not text.isascii() and not unicodedata.is_normalized("NFKC", text)
+    if not text.isascii() and (not unicodedata.is_normalized("NFKC", text) or _HIDDEN.search(text)):
+        return True
+    return _REPEAT.search(text) is not None or _THREE.search(text) is not None
 
 
 def normalize(text: str) -> tuple[str, list[int], list[int]] | None:

@@ -93,7 +93,7 @@ def test_normalize_maps_back():
     text, starts, ends = kernel.normalize("a b c dd")
     assert text == "abc dd" and starts == [0, 2, 4, 5, 6, 7] and ends == [1, 3, 5, 6, 7, 8]
     assert kernel.normalize("plain") is None and kernel.normalize("aAa") is None
-    assert kernel.normalize("zzz aAa")[0] == "z a"
+    assert kernel.normalize("zzz aAa")[0] == "z a" and kernel.normalize("x   y")[0] == "x y"
 
 
 def test_registry():
