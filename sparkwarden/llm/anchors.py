@@ -56,6 +56,7 @@ _DOMAIN = regex.compile(r"(?:[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]{0,61}[\p{L}\p{M}\
 _URL = regex.compile(r"[^\s<>\"'`{}|\\^]{1,4096}")
 _URL_SECRET = regex.compile(r"(?i)[?&;](?:token|key|api_?key|secret|password|pwd|auth|access_token|sig)=[^&#\s]+")
 _QUAD = regex.compile(r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)")
+_VERSION = regex.compile(r"(?i)(?<![\p{L}\p{M}\p{N}_])v(?:er(?:sion)?)?[ .:=]*\Z")
 _SIX = regex.compile(r"[0-9A-Fa-f:.]{2,45}")
 _GROUPS = regex.compile(r"\d+(?:[ .\-  ]\d+){0,6}")
 _PHONE = regex.compile(r"\+?(?:\(\d{1,5}\)|\d+)(?:[ .\-/  ]{0,2}(?:\(\d{1,5}\)|\d+)){0,16}")
@@ -151,7 +152,7 @@ def _ip4(text: str, i: int) -> tuple[int, int] | None:
     before, after = text[lo - 1 : lo], text[hi : hi + 2]
     if before and (before.isalnum() or before in "._") or after[:1] and (after[0].isalnum() or after[0] == "_") or len(after) > 1 and after[0] == "." and after[1].isdigit():
         return None
-    if text[max(0, lo - 10) : lo].lower().rstrip(" .:=").endswith(("v", "version", "ver")):
+    if _VERSION.search(text, max(0, lo - 10), lo):
         return None
     return lo, hi
 

@@ -233,6 +233,16 @@ def test_clean_text_is_left_alone(text):
     assert anchors.find(text) == []
 
 
+@pytest.mark.parametrize("before", ["server ", "Server: ", "over ", "aktiv ", "Treiber_v "])
+def test_an_address_behind_a_word_that_ends_like_version_is_found(before):
+    assert [(k, a) for a, _, k in anchors.find(f"{before}10.0.0.1 up")] == [("ip", len(before))]
+
+
+@pytest.mark.parametrize("before", ["v ", "ver. ", "Version: ", "(version = "])
+def test_a_version_is_no_address(before):
+    assert anchors.find(f"{before}1.2.3.4 up") == []
+
+
 def test_private_data_in_very_long_text_takes_linear_time():
     import time
 
