@@ -8,7 +8,8 @@ a deterministic parser expands to the boundaries of a candidate and validates it
 * ``url``: an address behind a scheme that carries user data (``user:secret@host``) or a
   secret in its query;
 * ``ip``: four octets without leading zeros, or an IPv6 address;
-* ``phone``: ``+`` and 8 to 15 digits in groups, or such digits behind a cue;
+* ``phone``: ``+`` and 8 to 15 digits in groups, or such digits behind a cue, up to another
+  address, card, date or time; behind ``+1`` just ten;
 * ``card``: 13 to 19 digits with a valid Luhn sum;
 * ``iban``: country, check digits and a valid remainder modulo 97;
 * ``ssn``: ``ddd-dd-dddd`` of a valid area, group and serial;
@@ -60,6 +61,9 @@ _VERSION = regex.compile(r"(?i)(?<![\p{L}\p{M}\p{N}_])v(?:er(?:sion)?)?[ .:=]*\Z
 _SIX = regex.compile(r"[0-9A-Fa-f:.]{2,45}")
 _GROUPS = regex.compile(r"\d+(?:[ .\-  ]\d+){0,6}")
 _PHONE = regex.compile(r"\+?(?:\(\d{1,5}\)|\d+)(?:[ .\-/  ]{0,2}(?:\(\d{1,5}\)|\d+)){0,16}")
+_CARD = regex.compile(r"\d{13,19}(?!\d)|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}(?!\d)|\d{4}(?P<t>[ -])\d{6}(?P=t)\d{5}(?!\d)")
+_PART = regex.compile(r"\(\d+\)|\d+")
+_DATE = regex.compile(r"(?:19|20)\d\d(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}(?!\d)|\d{1,2}(?P<t>[-/.])\d{1,2}(?P=t)(?:19|20)\d\d(?!\d)|\d{1,2}:\d\d(?!\d)")
 _IBAN = regex.compile(r"[A-Z]{2}\d{2}(?:[ .-]?[A-Z0-9]){11,30}")
 _SSN = regex.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}")
 _ACCOUNT = regex.compile(r"(?i)(?:\s*(?:number|no|nr|id|#|is|:|=|n°|ist|es|est)\.?){0,3}\s*[:=#]?\s*(?P<v>[A-Z]{0,2}\d(?:[ -]?\d){5,19})")
@@ -176,15 +180,34 @@ def _ip6(text: str, i: int) -> tuple[int, int] | None:
     return lo, hi
 
 
+def _other(text: str, i: int) -> bool:
+    """Whether an address, a card, a number of social security, a date or a time begins at ``i``."""
+    m = _SSN.match(text, i) or _DATE.match(text, i)
+    return m is not None and _bounded(text, *m.span()) or _ip4(text, i) is not None or _CARD.match(text, i) is not None and _card(text, i) is not None
+
+
 def _phone(text: str, i: int, cued: bool) -> tuple[int, int] | None:
     m = _PHONE.match(text, i)
     if not m:
         return None
-    lo, hi = m.span()
-    digits = sum(c.isdigit() for c in m.group())
-    if not (8 if not cued else 7) <= digits <= 15 or m.group()[1:2] == "0" and m.group()[0] == "+" or not _bounded(text, lo, hi):
+    lo, run = m.start(), m.group()
+    if run[0] == "+" and run[1:2] == "0" or cued and _DATE.match(text, i):
         return None
-    return lo, hi
+    parts = list(_PART.finditer(run))
+    begins = [lo + p.start() for p in parts]
+    clean = next((k for k, at in enumerate(begins) if k and text[at - 1].isspace() and _other(text, at)), len(parts))
+    ends, digits = [], 0
+    for part in parts:
+        digits += sum(map(str.isdigit, part.group()))
+        ends.append((lo + part.end(), digits))
+    # All groups up to another find; of +1 just eleven digits.  If that is no number, all that is written as one may be.
+    order = ends[:clean][::-1] + ends[-1:]
+    if run[:2] == "+1":
+        order.sort(key=lambda e: e[1] != 11)
+    for hi, digits in order:
+        if (8 if not cued else 7) <= digits <= 15 and _bounded(text, lo, hi):
+            return lo, hi
+    return None
 
 
 def _card(text: str, i: int) -> tuple[int, int] | None:

@@ -243,6 +243,29 @@ def test_a_version_is_no_address(before):
     assert anchors.find(f"{before}1.2.3.4 up") == []
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("+1 (826) 555-4081 190.137.223.204", [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")]),
+        ("+1 (614) 555-8001 4111 1111 1111 1111", [("phone", "+1 (614) 555-8001"), ("card", "4111 1111 1111 1111")]),
+        ("+1 (614) 555-8001 2024-05-01", [("phone", "+1 (614) 555-8001")]),
+        ("+1 (614) 555-8001 42", [("phone", "+1 (614) 555-8001")]),
+        ("+1 614 555 8001/614 555 8002 x", [("phone", "+1 614 555 8001")]),
+        ("+49 30 901820 01.05.2024 10:30", [("phone", "+49 30 901820")]),
+        ("+49 30 901820 10:30", [("phone", "+49 30 901820")]),
+        ("+49 30 901820 123-45-6789", [("phone", "+49 30 901820"), ("ssn", "123-45-6789")]),
+        ("call 614-555-8001 4111 1111 1111 1111", [("phone", "614-555-8001"), ("card", "4111 1111 1111 1111")]),
+        ("call 4111 1111 1111 1111", [("card", "4111 1111 1111 1111")]),
+        ("+33 6 12 34 56 78", [("phone", "+33 6 12 34 56 78")]),
+        ("+49 30.12.34.56", [("phone", "+49 30.12.34.56")]),
+        ("call 2024-05-01 now", []),
+        ("+123456789012345678", []),
+    ],
+)
+def test_a_phone_ends_where_another_number_begins(text, want):
+    assert [(k, text[a:b]) for a, b, k in anchors.find(text)] == want
+
+
 def test_private_data_in_very_long_text_takes_linear_time():
     import time
 
