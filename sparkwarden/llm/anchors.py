@@ -1,14 +1,14 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton goes over the whole text once and reports *anchors*: at-signs,
-URL schemes, digits, plus signs and cues such as ``token`` or ``iban``.  From each anchor
+URL schemes, digits, plus signs and cues such as ``token`` or ``iban`` in any case.  From each anchor
 a deterministic parser expands to the boundaries of a candidate and validates it:
 
 * ``email``: local part and domain around an at-sign;
 * ``url``: an address behind a scheme that carries user data (``user:secret@host``) or a
   secret in its query;
 * ``ip``: four octets without leading zeros, or an IPv6 address;
-* ``phone``: ``+`` and 8 to 15 digits in groups, or such digits behind a cue, up to another
+* ``phone``: ``+`` and 8 to 15 digits in groups, or 7 to 15 behind a cue (en, de, fr, es), up to another
   address, card, date or time; behind ``+1`` just ten;
 * ``card``: 13 to 19 digits with a valid Luhn sum;
 * ``iban``: country, check digits and a valid remainder modulo 97;
@@ -34,6 +34,7 @@ from __future__ import annotations
 import ipaddress
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import pyarrow as pa
 import regex
@@ -49,9 +50,15 @@ _STRUCT = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("en
 
 SECRET_CUES = ("token", "secret", "password", "passwd", "passwort", "pwd", "api_key", "apikey", "api-key", "api key", "access_key", "access key", "private_key", "authorization", "bearer", "contraseña", "mot de passe")
 ACCOUNT_CUES = ("account", "acct", "iban", "passport", "card", "ssn", "social security", "tax id", "steuer-id", "konto", "cuenta", "compte", "customer id", "user id")
-PHONE_CUES = ("phone", "tel", "call", "mobile", "fax", "handy")
+PHONE_CUES = (
+    *("phone", "telephone", "cellphone", "cell phone", "smartphone", "tel", "call", "mobile", "fax", "hotline"),
+    *("telefon", "telefonnummer", "rufnummer", "handy", "handynummer", "mobil", "mobilnummer", "mobiltelefon", "faxnummer", "durchwahl", "anruf"),
+    *("téléphone", "tél", "portable", "appelez", "télécopie"),
+    *("teléfono", "telefono", "móvil", "movil", "celular", "llame", "llamar"),
+)
 KEY_PREFIXES = ("AKIA", "ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "xoxp-", "AIza", "-----BEGIN ")
 
+_JOINT = regex.compile(r"[ _-]")
 _LOCAL = regex.compile(r"[\p{L}\p{M}\p{N}.!#$%&'*+/=?^_`{|}~-]+", regex.REVERSE)
 _DOMAIN = regex.compile(r"(?:[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]{0,61}[\p{L}\p{M}\p{N}])?\.)+(?:\p{L}{2,24}|xn--[A-Za-z0-9-]{2,59})")
 _URL = regex.compile(r"[^\s<>\"'`{}|\\^]{1,4096}")
@@ -62,6 +69,7 @@ _SIX = regex.compile(r"[0-9A-Fa-f:.]{2,45}")
 _GROUPS = regex.compile(r"\d+(?:[ .\-  ]\d+){0,6}")
 _PHONE = regex.compile(r"\+?(?:\(\d{1,5}\)|\d+)(?:[ .\-/  ]{0,2}(?:\(\d{1,5}\)|\d+)){0,16}")
 _CARD = regex.compile(r"\d{13,19}(?!\d)|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}(?!\d)|\d{4}(?P<t>[ -])\d{6}(?P=t)\d{5}(?!\d)")
+_TO_PHONE = regex.compile(r"(?i)(?:\s*(?:numbers|number|nummer|num[eé]ro|n[uú]mero|num|no|nr|n°|n\.?º|ist|is|est|es|[:=#])\.?){0,3}+[\s.:#]{0,4}+")
 _PART = regex.compile(r"\(\d+\)|\d+")
 _DATE = regex.compile(r"(?:19|20)\d\d(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}(?!\d)|\d{1,2}(?P<t>[-/.])\d{1,2}(?P=t)(?:19|20)\d\d(?!\d)|\d{1,2}:\d\d(?!\d)")
 _IBAN = regex.compile(r"[A-Z]{2}\d{2}(?:[ .-]?[A-Z0-9]){11,30}")
@@ -73,15 +81,23 @@ _KEY = regex.compile(r"[A-Za-z0-9_-]{16,}")
 _BLOCK = regex.compile(r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)")
 
 
+def folded(text: str) -> str:
+    """``text`` in lower case, code point by code point."""
+    return text.replace("\u0130", "i").lower()  # the one that would become two
+
+
 @lru_cache(maxsize=1)
 def automaton():
+    """Of what :func:`folded` text may hold."""
     import ahocorasick
 
     words = {"@": "at", "://": "scheme", "+": "plus", "::": "six"} | {str(d): "digit" for d in range(10)}
-    for cues, kind in ((SECRET_CUES, "secret"), (ACCOUNT_CUES, "account"), (PHONE_CUES, "phone"), (KEY_PREFIXES, "key")):
+    for cues, kind in ((SECRET_CUES, "secret"), (ACCOUNT_CUES, "account"), (PHONE_CUES, "phone")):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.title(), cue.capitalize()} if kind != "key" else {cue}:
-                words[form] = kind
+            for joint in (" ", "-", "_", "") if kind != "phone" else (" ",):
+                for form in ("NFC", "NFD"):
+                    words[normalize(form, _JOINT.sub(joint, cue) if cue != "mot de passe" else cue)] = kind
+    words |= {prefix.lower(): "key" for prefix in KEY_PREFIXES}
     made = ahocorasick.Automaton()
     for word, kind in words.items():
         made.add_word(word, (kind, len(word)))
@@ -261,7 +277,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             out.append((*span, kind))
         return span is not None
 
-    for end, (anchor, size) in automaton().iter(text):
+    for end, (anchor, size) in automaton().iter(folded(text)):
         i, hi = end - size + 1, end + 1
         if anchor == "digit":
             if i <= seen_number:
@@ -288,7 +304,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         elif anchor == "six":
             put("ip", _ip6(text, i))
         elif anchor == "key":
-            if i < seen_key:
+            if i < seen_key or text[i:hi] not in KEY_PREFIXES:
                 continue
             m = (_BLOCK if text[i] == "-" else _KEY).match(text, i)
             if m and (text[i] == "-" or any(c.isdigit() for c in m.group())) and not (i and text[i - 1].isalnum()):
@@ -305,10 +321,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 if m and _bounded(text, *m.span("v")):
                     put("account", m.span("v"))
                 if anchor == "phone":
-                    j = hi
-                    while j < len(text) and j - hi < 4 and text[j] in " .:#":
-                        j += 1
-                    put("phone", _phone(text, j, True))
+                    put("phone", _phone(text, _TO_PHONE.match(text, hi).end(), True))
     return out
 
 
