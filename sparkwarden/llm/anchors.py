@@ -61,8 +61,8 @@ KEY_PREFIXES = ("AKIA", "ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "xoxp-", "AI
 _JOINT = regex.compile(r"[ _-]")
 _LOCAL = regex.compile(r"[\p{L}\p{M}\p{N}.!#$%&'*+/=?^_`{|}~-]+", regex.REVERSE)
 _DOMAIN = regex.compile(r"(?:[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]{0,61}[\p{L}\p{M}\p{N}])?\.)+(?:\p{L}{2,24}|xn--[A-Za-z0-9-]{2,59})")
-_URL = regex.compile(r"[^\s<>\"'`{}|\\^]{1,4096}")
-_URL_SECRET = regex.compile(r"(?i)[?&;](?:token|key|api_?key|secret|password|pwd|auth|access_token|sig)=[^&#\s]+")
+_URL = regex.compile(r"[^\s<>\"'`{}|\\^]+")
+_URL_SECRET = regex.compile(r"(?i)[?&;](?:token|key|api_?key|secret|password|pwd|auth|access_token|sig)=[^&#\s]")
 _QUAD = regex.compile(r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)")
 _VERSION = regex.compile(r"(?i)(?<![\p{L}\p{M}\p{N}_])v(?:er(?:sion)?)?[ .:=]*\Z")
 _SIX = regex.compile(r"[0-9A-Fa-f:.]{2,45}")
@@ -75,7 +75,9 @@ _DATE = regex.compile(r"(?:19|20)\d\d(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}(?!\d)|\d{1
 _IBAN = regex.compile(r"[A-Z]{2}\d{2}(?:[ .-]?[A-Z0-9]){11,30}")
 _SSN = regex.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}")
 _ACCOUNT = regex.compile(r"(?i)(?:\s*(?:number|no|nr|id|#|is|:|=|n°|ist|es|est)\.?){0,3}\s*[:=#]?\s*(?P<v>[A-Z]{0,2}\d(?:[ -]?\d){5,19})")
-_SECRET = regex.compile(r"(?i)[\"']?\s*(?:=|:|\bis\b)\s*(?:bearer\s+)?(?P<q>[\"'`]?)(?P<v>[^\s\"'`,;<>()]{8,4096}+)(?P=q)")
+_SECRET = regex.compile(r"(?i)[\"']?\s*(?:=|:|\bis\b)\s*(?:bearer\s+)?(?P<q>[\"'`]?)")
+_VALUE = regex.compile(r"[^\s\"'`,;<>()]+")
+_TAIL = ".!?*#%&$|"
 _BEARER = regex.compile(r"\s+(?P<v>[A-Za-z0-9._~+/=-]{16,})")
 _KEY = regex.compile(r"[A-Za-z0-9_-]{16,}")
 _BLOCK = regex.compile(r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)")
@@ -141,19 +143,42 @@ def _email(text: str, at: int) -> tuple[int, int] | None:
     return lo, hi
 
 
-def _url(text: str, scheme_end: int) -> tuple[int, int] | None:
+class Runs:
+    """Runs of the characters of ``pattern``, each walked only once however many anchors it holds."""
+
+    def __init__(self, text: str, pattern: regex.Pattern, tail: str):
+        self.text, self.pattern, self.tail = text, pattern, tail
+        self.lo = self.hi = self.kept = self.next = 0
+
+    def end(self, at: int) -> tuple[int, int]:
+        """Of the run that goes on at ``at``, with and without the signs of ``tail`` at its end."""
+        if not self.lo <= at < self.hi:
+            m = self.pattern.match(self.text, at)
+            self.lo, self.next = at, -1
+            self.hi = self.kept = m.end() if m else at
+            while self.kept > at and self.text[self.kept - 1] in self.tail:
+                self.kept -= 1
+        return self.hi, max(at, self.kept)
+
+    def holds(self, part: regex.Pattern, at: int) -> bool:
+        """Whether ``part`` occurs from ``at`` to the end of the run; asked from left to right."""
+        _, hi = self.end(at)
+        if self.next < at:
+            m = part.search(self.text, at, hi)
+            self.next = m.start() if m else len(self.text)
+        return self.next < hi
+
+
+def _url(text: str, scheme_end: int, runs: Runs) -> tuple[int, int] | None:
     lo = scheme_end - 3
     while lo and scheme_end - lo < 20 and (text[lo - 1].isalnum() or text[lo - 1] in "+.-"):
         lo -= 1
-    body = _URL.match(text, scheme_end)
-    if lo == scheme_end - 3 or not body:
+    if lo == scheme_end - 3:
         return None
-    hi = body.end()
-    while hi > scheme_end and text[hi - 1] in ".,;:!?)]*#$%&":
-        hi -= 1
-    rest = text[scheme_end:hi]
-    authority = rest.split("/", 1)[0]
-    if ":" in authority.rpartition("@")[0] or _URL_SECRET.search(rest):
+    _, hi = runs.end(scheme_end)
+    slash = text.find("/", scheme_end, hi)
+    at = text.rfind("@", scheme_end, hi if slash < 0 else slash)
+    if at >= 0 and text.find(":", scheme_end, at) >= 0 or runs.holds(_URL_SECRET, scheme_end):
         return lo, hi
     return None
 
@@ -254,15 +279,21 @@ def _iban(text: str, i: int) -> tuple[int, int] | None:
     return None
 
 
-def _secret(text: str, cue_end: int, word: str) -> tuple[int, int] | None:
-    m = (_BEARER.match(text, cue_end) if word.lower() == "bearer" else None) or _SECRET.match(text, cue_end)
-    if not m:
-        return None
-    lo, hi = m.span("v")
-    while hi > lo and text[hi - 1] in ".!?*#%&$|":
-        hi -= 1
-    value = text[lo:hi]
-    if len(value) < 8 or value.isalpha() and value.islower() or not any(c.isdigit() or not c.isalnum() for c in value):
+def _secret(text: str, cue_end: int, word: str, runs: Runs) -> tuple[int, int] | None:
+    m = _BEARER.match(text, cue_end) if word.lower() == "bearer" else None
+    if m:
+        lo, hi = m.span("v")
+        while hi > lo and text[hi - 1] in _TAIL:
+            hi -= 1
+    else:
+        m = _SECRET.match(text, cue_end)
+        if not m:
+            return None
+        lo, quote = m.end(), m.group("q")
+        end, hi = runs.end(lo)
+        if end - lo < 8 or quote and text[end : end + 1] != quote:
+            return None
+    if hi - lo < 8 or not any(text[k].isdigit() or not text[k].isalnum() for k in range(lo, hi)):
         return None
     return lo, hi
 
@@ -271,6 +302,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of everything that an anchor leads to."""
     out: list[tuple[int, int, str]] = []
     seen_number = seen_key = -1
+    addresses, values = Runs(text, _URL, ".,;:!?)]*#$%&"), Runs(text, _VALUE, _TAIL)
 
     def put(kind: str, span: tuple[int, int] | None) -> bool:
         if span:
@@ -300,7 +332,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         elif anchor == "plus":
             put("phone", _phone(text, i, False))
         elif anchor == "scheme":
-            put("url", _url(text, hi))
+            put("url", _url(text, hi, addresses))
         elif anchor == "six":
             put("ip", _ip6(text, i))
         elif anchor == "key":
@@ -315,7 +347,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             if joined or i and text[i - 1].isalpha():
                 continue
             if anchor == "secret":
-                put("secret", _secret(text, hi, text[i:hi]))
+                put("secret", _secret(text, hi, text[i:hi], values))
             else:
                 m = _ACCOUNT.match(text, hi) if anchor == "account" else None
                 if m and _bounded(text, *m.span("v")):

@@ -287,6 +287,30 @@ def test_folding_keeps_positions(text):
     assert len(anchors.folded(text)) == len(text) and all(anchors.folded(c) == f for c, f in zip(text, anchors.folded(text)) if c != "Σ")
 
 
+@pytest.mark.parametrize("quote", ["", '"'])
+@pytest.mark.parametrize("n", [4096, 4097, 5000, 30_000])
+def test_long_secrets_are_found_whole(n, quote):
+    value = "a1" * (n // 2) + "b" * (n % 2)
+    text = f"token = {quote}{value}{quote}, and on"
+    assert [(k, text[a:b]) for a, b, k in anchors.find(text)] == [("secret", value)]
+    url = f"https://host.example/x?pad={'y' * n}&token={value}"
+    assert [(k, b - a) for a, b, k in anchors.find(f"see {url} there")] == [("url", len(url))]
+    url = f"https://bob:pw@host.example/{'y' * n}"
+    assert [(k, b - a) for a, b, k in anchors.find(f"see {url} there")] == [("url", len(url))]
+
+
+@pytest.mark.parametrize("unit", ["a://", "a://?key=x", "a://b:c@d", "token=", "token=.", 'token="', "token is ", "pwd:a1,", "telephone nr "])
+def test_many_anchors_in_one_run_take_linear_time(unit):
+    import time
+
+    took = []
+    for size in (50_000, 200_000):
+        began = time.process_time()
+        anchors.find(unit * (size // len(unit)) + "." * size)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 2
+
+
 def test_private_data_in_very_long_text_takes_linear_time():
     import time
 
