@@ -4,7 +4,8 @@ An Aho-Corasick automaton goes over the whole text once and reports *anchors*: a
 URL schemes, digits, plus signs and cues such as ``token`` or ``iban`` in any case.  From each anchor
 a deterministic parser expands to the boundaries of a candidate and validates it:
 
-* ``email``: local part and domain around an at-sign;
+* ``email``: local part and domain around an at-sign; what is glued to a longer run begins
+  behind the last ``/ ? & =`` of it, else behind another sign;
 * ``url``: an address behind a scheme that carries user data (``user:secret@host``) or a
   secret in its query;
 * ``ip``: four octets without leading zeros, or an IPv6 address;
@@ -60,6 +61,7 @@ KEY_PREFIXES = ("AKIA", "ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "xoxp-", "AI
 
 _JOINT = regex.compile(r"[ _-]")
 _LOCAL = regex.compile(r"[\p{L}\p{M}\p{N}.!#$%&'*+/=?^_`{|}~-]+", regex.REVERSE)
+_SIGNS = ".!#$%&'*/=?^`{|}~"
 _DOMAIN = regex.compile(r"(?:[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]{0,61}[\p{L}\p{M}\p{N}])?\.)+(?:\p{L}{2,24}|xn--[A-Za-z0-9-]{2,59})")
 _URL = regex.compile(r"[^\s<>\"'`{}|\\^]+")
 _URL_SECRET = regex.compile(r"(?i)[?&;](?:token|key|api_?key|secret|password|pwd|auth|access_token|sig)=[^&#\s]")
@@ -134,13 +136,19 @@ def _email(text: str, at: int) -> tuple[int, int] | None:
     hi = right.end()
     if hi < len(text) and (text[hi].isalnum() or text[hi] in "_@"):
         return None
-    lo = left.start()
-    while lo < at and text[lo] in ".!#$%&'*/=?^`{|}~":  # signs before a word belong to the sentence
-        lo += 1
-    local = text[lo:at]
-    if not 1 <= len(local) <= 64 or local.endswith(".") or ".." in local or len(text[at + 1 : hi]) > 253:
+    if len(text[at + 1 : hi]) > 253:
         return None
-    return lo, hi
+    starts = [left.start()]
+    if len(text[left.start() : at].lstrip(_SIGNS)) > 64:  # glued to something: behind its last separator, else behind any sign
+        near = range(at - 1, max(left.start(), at - 65) - 1, -1)
+        starts = [i + 1 for i in near if text[i] in "/?&="] + [i + 1 for i in reversed(near) if not text[i].isalnum() and text[i + 1].isalnum()]
+    for lo in starts:
+        while lo < at and text[lo] in _SIGNS:  # signs before a word belong to the sentence
+            lo += 1
+        local = text[lo:at]
+        if 1 <= len(local) <= 64 and not local.endswith(".") and ".." not in local:
+            return lo, hi
+    return None
 
 
 class Runs:

@@ -311,6 +311,30 @@ def test_many_anchors_in_one_run_take_linear_time(unit):
     assert took[1] < 10 * took[0] + 2
 
 
+LONG_PATH = "/account/settings/confirm?campaign=spring-2024&lang=de&source=newsletter&email="
+
+
+@pytest.mark.parametrize(
+    "before,value",
+    [
+        (LONG_PATH, "anna@example.com"),
+        (LONG_PATH, "anna.b+x@example.com"),
+        (LONG_PATH[:-6] + "/", "anna@example.com"),
+        ("x=" + "y" * 400 + "/", "anna@example.com"),
+        ("-" * 70 + "#", "anna@example.com"),
+        ("a" * 60 + "|", "anna.b@example.com"),
+    ],
+)
+def test_an_email_glued_to_a_long_run_is_found(before, value):
+    text = f"see {before}{value} now"
+    assert [(k, text[a:b]) for a, b, k in anchors.find(text)] == [("email", value)]
+
+
+@pytest.mark.parametrize("text", ["a" * 65 + "@example.com", "/" * 70 + "@example.com", "x/" * 40 + "a.@example.com"])
+def test_a_long_run_without_a_local_part_is_no_email(text):
+    assert anchors.find(text) == []
+
+
 def test_private_data_in_very_long_text_takes_linear_time():
     import time
 
