@@ -233,6 +233,19 @@ def test_clean_text_is_left_alone(text):
     assert anchors.find(text) == []
 
 
+def test_a_hot_family_below_the_threshold_stays():
+    """600 documents with a passage in common, any two of a Jaccard similarity of 0.45."""
+    common = " ".join(f"c{i}" for i in range(40))
+    texts = large([common + "".join(f" u{d}x{i}" for i in range(23)) for d in range(600)])
+    _, signature = minhash.signatures(texts, 3, max(128, getattr(minhash, "CHECKED", 0)))
+    codes = (arrays.mix(signature) & np.uint64(255)).astype(np.uint8)
+    bands = minhash.band_hashes(signature[:, :128], 4)
+    bucket, doc = bands.T.reshape(-1), np.tile(np.arange(600), bands.shape[1])
+    order = np.lexsort((doc, bucket))
+    batch = pa.RecordBatch.from_arrays([pa.array(bucket[order]), pa.array(doc[order]), pa.array([codes[d].tobytes() for d in doc[order]], pa.binary())], names=["bucket", "doc_id", "code"])
+    assert sum(len(x) for x in minhash._link(128, 0.55)([batch])) == 0
+
+
 @pytest.mark.parametrize("before", ["server ", "Server: ", "over ", "aktiv ", "Treiber_v "])
 def test_an_address_behind_a_word_that_ends_like_version_is_found(before):
     assert [(k, a) for a, _, k in anchors.find(f"{before}10.0.0.1 up")] == [("ip", len(before))]
