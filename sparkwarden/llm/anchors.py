@@ -33,6 +33,7 @@ table gives no rows; extra columns are handed on by :func:`redacted`, ignored by
 from __future__ import annotations
 
 import ipaddress
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from unicodedata import normalize
@@ -65,13 +66,15 @@ _SIGNS = ".!#$%&'*/=?^`{|}~"
 _DOMAIN = regex.compile(r"(?:[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]{0,61}[\p{L}\p{M}\p{N}])?\.)+(?:\p{L}{2,24}|xn--[A-Za-z0-9-]{2,59})")
 _URL = regex.compile(r"[^\s<>\"'`{}|\\^]+")
 _URL_SECRET = regex.compile(r"(?i)[?&;](?:token|key|api_?key|secret|password|pwd|auth|access_token|sig)=[^&#\s]")
+_HEX = frozenset("0123456789abcdefABCDEF:")
 _QUAD = regex.compile(r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)")
 _VERSION = regex.compile(r"(?i)(?<![\p{L}\p{M}\p{N}_])v(?:er(?:sion)?)?[ .:=]*\Z")
-_SIX = regex.compile(r"[0-9A-Fa-f:.]{2,45}")
-_GROUPS = regex.compile(r"\d+(?:[ .\-  ]\d+){0,6}")
+_SIX = re.compile(r"[0-9A-Fa-f:.]+")
 _PHONE = regex.compile(r"\+?(?:\(\d{1,5}\)|\d+)(?:[ .\-/  ]{0,2}(?:\(\d{1,5}\)|\d+)){0,16}")
 _CARD = regex.compile(r"\d{13,19}(?!\d)|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}(?!\d)|\d{4}(?P<t>[ -])\d{6}(?P=t)\d{5}(?!\d)")
 _TO_PHONE = regex.compile(r"(?i)(?:\s*(?:numbers|number|nummer|num[eé]ro|n[uú]mero|num|no|nr|n°|n\.?º|ist|is|est|es|[:=#])\.?){0,3}+[\s.:#]{0,4}+")
+_DIGITS = re.compile(r"\d+")
+_GAPS = frozenset(" .-\u00a0\u202f")
 _PART = regex.compile(r"\(\d+\)|\d+")
 _DATE = regex.compile(r"(?:19|20)\d\d(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}(?!\d)|\d{1,2}(?P<t>[-/.])\d{1,2}(?P=t)(?:19|20)\d\d(?!\d)|\d{1,2}:\d\d(?!\d)")
 _IBAN = regex.compile(r"[A-Z]{2}\d{2}(?:[ .-]?[A-Z0-9]){11,30}")
@@ -127,8 +130,8 @@ def _bounded(text: str, lo: int, hi: int) -> bool:
 
 
 def _email(text: str, at: int) -> tuple[int, int] | None:
-    left = _LOCAL.search(text, max(0, at - 320), at)
-    if not left or left.end() != at:
+    left = _LOCAL.match(text, max(0, at - 320), at)  # backwards from the at-sign
+    if not left:
         return None
     right = _DOMAIN.match(text, at + 1)
     if not right:
@@ -210,17 +213,11 @@ def _ip4(text: str, i: int) -> tuple[int, int] | None:
     return lo, hi
 
 
-def _ip6(text: str, i: int) -> tuple[int, int] | None:
-    lo = i
-    while lo and i - lo < 45 and text[lo - 1] in "0123456789abcdefABCDEF:":
-        lo -= 1
-    m = _SIX.match(text, lo)
-    if not m:
-        return None
-    lo, hi = m.span()
+def _ip6(text: str, lo: int, hi: int) -> tuple[int, int] | None:
+    """In the run of hexadecimal digits, colons and dots from ``lo`` to ``hi``."""
     while hi > lo and (text[hi - 1] == "." or text[hi - 1] == ":" and text[hi - 2 : hi - 1] != ":"):
         hi -= 1
-    if text.count(":", lo, hi) < 2 or hi - lo < 3 or not _bounded(text, lo, hi):
+    if not 3 <= hi - lo <= 45 or text.count(":", lo, hi) < 2 or not _bounded(text, lo, hi):
         return None
     try:
         ipaddress.IPv6Address(text[lo:hi])
@@ -240,6 +237,8 @@ def _phone(text: str, i: int, cued: bool) -> tuple[int, int] | None:
     if not m:
         return None
     lo, run = m.start(), m.group()
+    if len(run) < 7 or sum(map(str.isdigit, run)) < 7:
+        return None
     if run[0] == "+" and run[1:2] == "0" or cued and _DATE.match(text, i):
         return None
     parts = list(_PART.finditer(run))
@@ -260,16 +259,24 @@ def _phone(text: str, i: int, cued: bool) -> tuple[int, int] | None:
 
 
 def _card(text: str, i: int) -> tuple[int, int] | None:
-    m = _GROUPS.match(text, i)
-    if not m:
-        return None
-    # One run, or a few groups that are one number.
-    ends = [i + k for k, c in enumerate(m.group() + " ") if not c.isdigit()]
-    for hi in reversed(ends):
-        run = text[i:hi]
-        digits = "".join(filter(str.isdigit, run))
-        groups = [g for g in regex.split(r"\D", run) if g]
-        if 13 <= len(digits) <= 19 and (len(groups) == 1 or 3 <= min(map(len, groups[:-1])) and len(groups) <= 6) and len(set(digits)) > 1 and luhn(digits) and _bounded(text, i, hi):
+    """One run, or up to six groups of three digits at least (but the last) that are one number."""
+    ends, digits, at = [], 0, i
+    while len(ends) < 6:
+        m = _DIGITS.match(text, at)
+        if not m:
+            break
+        digits += m.end() - at
+        if digits > 19:
+            break
+        ends.append((m.end(), digits))
+        if m.end() - at < 3 or text[m.end() : m.end() + 1] not in _GAPS:
+            break
+        at = m.end() + 1
+    for hi, n in reversed(ends):
+        if n < 13:
+            break
+        number = "".join(filter(str.isdigit, text[i:hi]))
+        if len(set(number)) > 1 and luhn(number) and _bounded(text, i, hi):
             return i, hi
     return None
 
@@ -309,7 +316,7 @@ def _secret(text: str, cue_end: int, word: str, runs: Runs) -> tuple[int, int] |
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of everything that an anchor leads to."""
     out: list[tuple[int, int, str]] = []
-    seen_number = seen_key = -1
+    seen_number = seen_key = seen_six = -1
     addresses, values = Runs(text, _URL, ".,;:!?)]*#$%&"), Runs(text, _VALUE, _TAIL)
 
     def put(kind: str, span: tuple[int, int] | None) -> bool:
@@ -317,6 +324,17 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             out.append((*span, kind))
         return span is not None
 
+    def six(i: int) -> int:
+        """Puts the address around ``i``, if there is one; where its run ends, so that each is walked only once."""
+        if i < seen_six:
+            return seen_six
+        lo = i
+        while lo > max(seen_six, 0) and text[lo - 1] in _HEX:
+            lo -= 1
+        hi = _SIX.match(text, lo).end()
+        put("ip", _ip6(text, lo, hi))
+        return hi
+
     for end, (anchor, size) in automaton().iter(folded(text)):
         i, hi = end - size + 1, end + 1
         if anchor == "digit":
@@ -330,7 +348,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             if text[stop : stop + 1] == ".":
                 put("ip", _ip4(text, start))
             if text[stop : stop + 1] == ":":
-                put("ip", _ip6(text, start))
+                seen_six = six(start)
             put("card", _card(text, start))
             put("iban", _iban(text, start))
             m = _SSN.match(text, start) if stop - start == 3 else None
@@ -342,7 +360,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         elif anchor == "scheme":
             put("url", _url(text, hi, addresses))
         elif anchor == "six":
-            put("ip", _ip6(text, i))
+            seen_six = six(i)
         elif anchor == "key":
             if i < seen_key or text[i:hi] not in KEY_PREFIXES:
                 continue
