@@ -11,7 +11,8 @@ a deterministic parser expands to the boundaries of a candidate and validates it
 * ``ip``: four octets without leading zeros, or an IPv6 address;
 * ``phone``: ``+`` and 8 to 15 digits in groups, or 7 to 15 behind a cue (en, de, fr, es), up to another
   address, card, date or time; behind ``+1`` just ten;
-* ``card``: 13 to 19 digits with a valid Luhn sum;
+* ``card``: 13 to 19 digits with a valid Luhn sum, of a length and a first digits that an issuer uses (a tenth of all
+  numbers have a valid sum by chance);
 * ``iban``: country, check digits and a valid remainder modulo 97;
 * ``ssn``: ``ddd-dd-dddd`` of a valid area, group and serial;
 * ``account``: 6 to 20 digits behind a cue (account, passport, card, ssn ...);
@@ -76,6 +77,11 @@ _TO_PHONE = regex.compile(r"(?i)(?:\s*(?:numbers|number|nummer|num[eé]ro|n[uú]
 _DIGITS = re.compile(r"\d+")
 _GAPS = frozenset(" .-\u00a0\u202f")
 _PART = regex.compile(r"\(\d+\)|\d+")
+#: Numbers that issuers of cards give out.
+_ISSUER = re.compile(
+    r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11,16}|6(?:011|4[4-9]\d|5\d\d)\d{12,15}|35(?:2[89]|[3-8]\d)\d{12,15}|62\d{14,17}"
+    r"|(?:5018|5020|5038|5893|6304|6759|676[1-3])\d{8,15}|220[0-4]\d{12,15}|(?:60|81|82|508)\d{13,14}"
+)
 _DATE = regex.compile(r"(?:19|20)\d\d(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}(?!\d)|\d{1,2}(?P<t>[-/.])\d{1,2}(?P=t)(?:19|20)\d\d(?!\d)|\d{1,2}:\d\d(?!\d)")
 _IBAN = regex.compile(r"[A-Z]{2}\d{2}(?:[ .-]?[A-Z0-9]){11,30}")
 _SSN = regex.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}")
@@ -276,7 +282,7 @@ def _card(text: str, i: int) -> tuple[int, int] | None:
         if n < 13:
             break
         number = "".join(filter(str.isdigit, text[i:hi]))
-        if len(set(number)) > 1 and luhn(number) and _bounded(text, i, hi):
+        if len(set(number)) > 1 and _ISSUER.fullmatch(number) and luhn(number) and _bounded(text, i, hi):
             return i, hi
     return None
 
