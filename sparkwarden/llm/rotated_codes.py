@@ -1,29 +1,33 @@
-"""Approximate nearest neighbours of every vector by randomly rotated one-bit codes.
+"""Approximate nearest neighbours by randomly rotated one-bit codes.
 
 Vectors are scaled to unit length and put into cells around centroids (Lloyd's steps over
-all vectors).  A vector's offset from its centroid is rotated at random and reduced to
-its signs, one bit a dimension, with two correction scalars: its length and the inner
-product of the offset with its code.  From those the inner product with a query is
-estimated without bias, within an error bound that shrinks with the root of the
-dimension; only vectors whose bound reaches the best so far are compared exactly.
-
-A query looks into the cells nearest to it.  How many is not guessed: for ``probe_sample``
-queries all vectors are searched exactly, and as many cells are probed as hold
-``target`` of the true neighbours.  The nearest cell is searched first; its results limit
-what the others need to return.
-
-Plan.  Cells are split into parts of ``part_rows`` vectors and ``part_queries`` queries, so
-that a crowded cell is many small tasks.  Broadcast: centroids (about ``sqrt(n)/2``, at most ``max_cells`` of
-them) and the rotation.
-
-Result: ``vec_id, rank, neighbour_id, similarity``: the ``k`` nearest of each vector by
+all vectors).  A vector's offset from its centroid is padded with zeros to ``bits``
+dimensions, rotated at random and reduced to its signs, one bit a dimension, with two correction
+scalars: its length and the inner product of the offset's direction with its code.  A query's offset is
+turned likewise and rounded to ``PLANES`` bits a dimension, so that its inner product with a code
+is a few ANDs and bit counts of packed words.  The estimate has no bias; its error bound shrinks with the root of
+``bits``.  Only vectors whose bound reaches the best so far are compared exactly.
+
+Queries are the rows whose id is divisible by ``every``; they are held against all rows.  A
+query looks into the cells nearest to it.  How many is measured: for
+``probe_sample`` queries all vectors are searched exactly, and as many cells are probed as hold
+``target`` of the true neighbours.
+
+Plan.  Neighbouring cells are put together into blocks of about ``part_rows`` vectors (a crowded cell is
+several blocks), so that bounds within a block are sharp and a query goes once to each block that
+holds a cell of its own.  What is shuffled to blocks is codes with their scalars and queries with their planes, no
+vectors; these are joined to the candidates that are left.  Blocks beyond ``part_queries`` queries are met by
+several tasks.  Broadcast: centroids (``sqrt(n)/2``, at most ``max_cells`` of them, beyond which
+cells grow), the rotation, and the block of each cell.
+
+Result: ``vec_id, rank, neighbour_id, similarity``: the ``k`` nearest of each query by
 cosine similarity (six decimals), ties by the lesser id.
 
 Edge cases.  Vectors that are null or empty, of length zero, with a null, NaN or infinite
 part, or of another dimension than most are neither queries nor neighbours, nor are those
 with a null id.  Several rows of one id are one vector, the greatest of them.  A vector isn't its own
 neighbour, but another with the same values is; with fewer than ``k`` others, all are
-neighbours.  An empty table gives no rows; extra columns are ignored.
+neighbours.  An empty table, or one without a query, gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +42,10 @@ from pyspark.sql import types as T
 
 from .storage import stored
 
-#: Estimates made at once, and vectors compared exactly at once: what bounds a task's memory.
-PAIRS, RERANKED = 1 << 20, 1 << 14
-_PAIRS = "vec_id long, neighbour_id long, similarity double"
+#: Estimates made at once: what bounds a task's memory.
+PAIRS = 1 << 18
+#: Bits to which a query's dimensions are rounded.
+PLANES = 5
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -49,23 +54,48 @@ def rotation(dim: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def encode(offsets: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(bits, length, inner)`` of each offset: packed signs, norm, and inner product of direction and code."""
-    length = np.linalg.norm(offsets, axis=1)
-    turned = (offsets / np.maximum(length, 1e-12)[:, None]) @ turn.T
-    inner = np.abs(turned).sum(1) / np.sqrt(offsets.shape[1])
-    return np.packbits(turned > 0, axis=1), length, np.where(length > 1e-9, inner, 1.0)
+def code_size(dim: int, bits: int) -> int:
+    """Dimensions after padding: whole words of 64 bits."""
+    return -(-max(dim, bits) // 64) * 64
 
 
-def estimate(bits: np.ndarray, length: np.ndarray, inner: np.ndarray, queries: np.ndarray, turn: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner product of each query with each offset, and its error bound."""
-    dim = queries.shape[1]
-    signs = (np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-    turned = (queries @ turn.T).astype(np.float32)
-    scale = (length / inner).astype(np.float32)
-    products = (turned @ signs.T) * scale
-    slack = np.sqrt(np.maximum(1 - np.minimum(inner, 1) ** 2, 0)) / inner / np.sqrt(max(dim - 1, 1)) * epsilon * length
-    return products, np.linalg.norm(queries, axis=1).astype(np.float32)[:, None] * slack.astype(np.float32)[None]
+def encode(offsets: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(codes, length, inner)`` of each offset: signs in words, norm, and inner product of direction and code.
+
+    ``turn`` has as many columns as the code has bits and a row for each dimension of the vectors."""
+    length = np.linalg.norm(offsets, axis=1)
+    turned = (offsets / np.maximum(length, 1e-12)[:, None]) @ turn
+    inner = np.abs(turned).sum(1) / np.sqrt(turn.shape[1])
+    return np.packbits(turned > 0, axis=1, bitorder="little").view(np.uint64), length, np.where(length > 1e-9, inner, 1.0)
+
+
+def planes(offsets: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(planes, low, step, total)``: each turned offset rounded to ``low + step * u``, the bits of ``u`` in words, and its sum."""
+    turned = offsets @ turn
+    low, high = turned.min(1), turned.max(1)
+    step = np.maximum((high - low) / ((1 << PLANES) - 1), 1e-12)
+    u = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+    out = np.stack([np.packbits((u >> j) & 1, axis=1, bitorder="little").view(np.uint64) for j in range(PLANES)], axis=1)
+    return out, low, step, low * turn.shape[1] + step * u.sum(1)
+
+
+def estimate(codes: np.ndarray, length: np.ndarray, inner: np.ndarray, asked: tuple, norm: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner product of each query (its :func:`planes` and norm) with each offset, and its error bound."""
+    bit_planes, low, step, total = asked
+    size = codes.shape[1] * 64
+    ones = np.bitwise_count(codes).sum(1, dtype=np.int32)
+    held = np.zeros((len(bit_planes), len(codes)), np.int32)
+    for j in range(PLANES):
+        both = np.zeros(held.shape, np.uint16)
+        for w in range(codes.shape[1]):
+            both += np.bitwise_count(bit_planes[:, j, w][:, None] & codes[:, w][None])
+        held += np.left_shift(both, j, dtype=np.int32)
+    # Sum of the query's dimensions where the code's bit is set, less that of all others.
+    product = 2 * (low[:, None] * ones[None] + step[:, None] * held) - total[:, None]
+    product *= (length / inner / np.sqrt(size))[None]
+    slack = np.sqrt(np.maximum(1 - np.minimum(inner, 1) ** 2, 0)) / inner / np.sqrt(size - 1) * length * epsilon
+    rounding = step / np.sqrt(12) * epsilon
+    return product, norm[:, None] * slack[None] + rounding[:, None] * (length / inner)[None]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -137,9 +167,9 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c**2).sum(1)[None] - 2 * x @ c.T).argmin(1)
 
 
-def probes_needed(vectors: DataFrame, c: np.ndarray, sample: int, k: int, target: float) -> int:
+def probes_needed(vectors: DataFrame, asking: DataFrame, c: np.ndarray, sample: int, k: int, target: float) -> int:
     """How many nearest cells hold ``target`` of the true neighbours of sampled queries, all vectors being searched."""
-    rows = vectors.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(sample).toPandas()
+    rows = asking.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(sample).toPandas()
     ids, queries = rows["vec_id"].to_numpy(), np.array(rows["v"].tolist(), np.float64)
     held = vectors.sparkSession.sparkContext.broadcast((ids, queries, c))
 
@@ -166,61 +196,105 @@ def probes_needed(vectors: DataFrame, c: np.ndarray, sample: int, k: int, target
     return int(np.quantile(place, target, method="higher"))
 
 
+def blocks(c: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(block, parts)`` of each cell: near cells share a block of at most ``most`` vectors; a larger cell has ``parts`` blocks from ``block`` on."""
+    order: list[int] = []
+
+    def halve(some: np.ndarray) -> None:
+        if len(some) <= 2:
+            order.extend(some.tolist())
+            return
+        x = c[some]
+        axis = x.var(0).argmax()
+        by = some[np.argsort(x[:, axis], kind="stable")]
+        halve(by[: len(by) // 2])
+        halve(by[len(by) // 2 :])
+
+    halve(np.arange(len(c)))
+    block, parts = np.zeros(len(c), np.int64), np.ones(len(c), np.int64)
+    now = held = 0
+    for cell in order:
+        n = int(counts[cell])
+        if held and held + n > most:
+            now, held = now + 1, 0
+        block[cell], parts[cell] = now, max(1, -(-n // most))
+        held += n
+        if held >= most:
+            now, held = now + int(parts[cell]), 0
+    return block, parts
+
+
+_CANDIDATE = "q long, vec_id long, least double, most double"
+
+
 def _search(k: int, epsilon: float, c_held, turn_held):
+    """Candidates of one block: those whose upper bound reaches the ``k``-th lower bound of their query."""
+
     def run(data: pa.Table, asked: pa.Table) -> pa.Table:
-        out_q, out_n, out_s = [], [], []
+        out: list[tuple[np.ndarray, ...]] = []
         if data.num_rows and asked.num_rows:
-            turn = turn_held.value
-            center = c_held.value[data.column("cell")[0].as_py()]
-            ids, x = data.column("vec_id").to_numpy(), matrix(data.column("v"))
-            order = np.argsort(ids)
-            ids, x = ids[order], x[order]
-            bits = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            length, inner = data.column("length").to_numpy()[order], data.column("inner").to_numpy()[order]
-            along = x @ center
-            names, q, limits = asked.column("vec_id").to_numpy(), matrix(asked.column("v")), asked.column("least").to_numpy()
-            chunk = max(1, PAIRS // len(ids))
-            for lo in range(0, len(names), chunk):
-                part, qs = names[lo : lo + chunk], q[lo : lo + chunk]
-                # <o, q> = <o, c> + <o, q - c> and <o, q - c> = <c, q - c> + <o - c, q - c>
-                from_center = qs - center
-                guess, slack = estimate(bits, length, inner, from_center, turn, epsilon)
-                guess += along[None] + (from_center @ center)[:, None]
-                guess[part[:, None] == ids[None]] = -np.inf
-                floor = limits[lo : lo + chunk].copy()
-                if len(ids) > k:
-                    floor = np.maximum(floor, np.partition(guess - slack, len(ids) - k, axis=1)[:, len(ids) - k])
-                row, col = np.nonzero(guess + slack >= floor[:, None])
-                exact = np.empty(len(row))
-                for at in range(0, len(row), RERANKED):  # pairs of whole vectors: a few at a time
-                    some = slice(at, at + RERANKED)
-                    exact[some] = np.einsum("ij,ij->i", qs[row[some]], x[col[some]])
-                exact = np.round(exact, 6)
-                by = np.lexsort((col, -exact, row))
-                row, col, exact = row[by], col[by], exact[by]
-                start = np.searchsorted(row, row)
-                ok = (np.arange(len(row)) - start < k) & (exact >= limits[lo : lo + chunk][row]) & (part[row] != ids[col])
-                out_q.append(part[row[ok]])
-                out_n.append(ids[col[ok]])
-                out_s.append(exact[ok])
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return pa.table({"vec_id": pa.array(cat(out_q, np.int64)), "neighbour_id": pa.array(cat(out_n, np.int64)), "similarity": pa.array(cat(out_s, np.float64))})
+            centers, turn = c_held.value, turn_held.value
+            by = np.lexsort((data.column("vec_id").to_numpy(), data.column("cell").to_numpy()))
+            ids, cell, length, inner, along = (data.column(x).to_numpy()[by] for x in ("vec_id", "cell", "length", "inner", "along"))
+            codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint64).reshape(len(ids), -1)[by]
+            names, q = asked.column("q").to_numpy(), matrix(asked.column("v"))
+            lists = asked.column("cells").combine_chunks()
+            starts, wanted = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+            sizes = np.diff(starts)
+            floor = np.full((len(names), k), -np.inf)  # the best lower bounds of each query so far, the least first
+            for place in range(int(sizes.max())):  # the nearest cell of all queries, then the next
+                now = np.flatnonzero(sizes > place)
+                now = now[np.argsort(wanted[starts[now] + place], kind="stable")]
+                here = wanted[starts[now] + place]
+                for group in np.split(now, np.flatnonzero(np.diff(here)) + 1):
+                    which = wanted[starts[group[0]] + place]
+                    a, b = np.searchsorted(cell, [which, which + 1])
+                    for part in np.array_split(group, -(-len(group) * (b - a) // PAIRS)) if b > a else ():
+                        offset = q[part] - centers[which]
+                        guess, slack = estimate(codes[a:b], length[a:b], inner[a:b], planes(offset, turn), np.linalg.norm(offset, axis=1), epsilon)
+                        # <o, q> = <o, c> + <c, q - c> + <o - c, q - c>
+                        guess += along[a:b][None] + (offset @ centers[which])[:, None]
+                        guess[names[part][:, None] == ids[a:b][None]] = -np.inf
+                        under = guess - slack
+                        size = min(k, b - a)
+                        floor[part] = np.sort(np.concatenate([floor[part], np.partition(under, b - a - size, axis=1)[:, b - a - size :]], axis=1), axis=1)[:, -k:]
+                        over = guess + slack
+                        row, col = np.nonzero((over >= floor[part, :1]) & (guess > -9))
+                        out.append((part[row], ids[a:b][col], under[row, col], over[row, col]))
+        if not out:
+            return pa.table({"q": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "least": pa.array([], pa.float64()), "most": pa.array([], pa.float64())})
+        at, other, least, most = (np.concatenate(x) for x in zip(*out, strict=True))
+        stays = most >= floor[at, 0]  # what was let through before its query's bound was known goes now
+        return pa.table({"q": names[at[stays]], "vec_id": other[stays], "least": least[stays], "most": most[stays]})
 
     return run
 
 
-def neighbours(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 10, target: float = 0.97, epsilon: float = 2.5, probe_sample: int = 256, rounds: int = 4, part_rows: int = 8192, part_queries: int = 16384, max_cells: int = 1 << 15) -> DataFrame:
-    """``vec_id, rank, neighbour_id, similarity`` for every usable vector."""
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact similarity of pairs of vectors."""
+    for batch in batches:
+        if batch.num_rows:
+            exact = np.einsum("ij,ij->i", matrix(batch.column(2)), matrix(batch.column(3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(exact, 6))], names=["vec_id", "neighbour_id", "similarity"])
+
+
+def neighbours(
+    df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 10, every: int = 20, target: float = 0.97, bits: int = 256, epsilon: float = 1.5, probe_sample: int = 256, rounds: int = 3,
+    part_rows: int = 32768, part_queries: int = 4096, max_cells: int = 1 << 15,
+) -> DataFrame:
+    """``vec_id, rank, neighbour_id, similarity`` for every usable vector whose id is divisible by ``every``."""
     spark = df.sparkSession
     sc = spark.sparkContext
     vectors = stored(unit_vectors(df, id_column, vector_column), "vectors")
     n = vectors.count()
-    if n < 2:
+    asking = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
+    if n < 2 or asking.isEmpty():
         return spark.createDataFrame([], "vec_id long, rank int, neighbour_id long, similarity double")
     cells = min(max(1, round(n**0.5 / 2)), max_cells)
     c = centroids(vectors, cells, rounds)
-    probes = min(cells, probes_needed(vectors, c, probe_sample, k, target))
-    c_held, turn_held = sc.broadcast(c), sc.broadcast(rotation(c.shape[1]))
+    probes = min(cells, probes_needed(vectors, asking, c, probe_sample, k, target))
+    size = code_size(c.shape[1], bits)
+    c_held, turn_held = sc.broadcast(c), sc.broadcast(rotation(size)[: c.shape[1]])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, turn = c_held.value, turn_held.value
@@ -228,34 +302,55 @@ def neighbours(df: DataFrame, id_column: str = "vec_id", vector_column: str = "e
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
                 x = matrix(part.column(1))
+                cell = nearest(x, c)
+                codes, length, inner = encode(x - c[cell], turn)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cell, pa.int32()), _binary(codes), pa.array(length), pa.array(inner), pa.array((x * c[cell]).sum(1))], names=["vec_id", "cell", "code", "length", "inner", "along"])
+
+    placed = stored(vectors.mapInArrow(place, "vec_id long, cell int, code binary, length double, inner double, along double"), "placed")
+    # At most ``max_cells`` rows.
+    counts = np.zeros(cells, np.int64)
+    for cell, held in placed.groupBy("cell").count().collect():
+        counts[cell] = held
+    block, parts = blocks(c, counts, part_rows)
+    cut_held = sc.broadcast((block, parts))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and each block that holds some of its cells, the nearest first."""
+        c, (block, parts) = c_held.value, cut_held.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, max(1, (1 << 21) // cells)):
+                part = batch.slice(lo, max(1, (1 << 21) // cells))
+                x = matrix(part.column(1))
                 far = (c**2).sum(1)[None] - 2 * x @ c.T
                 first = np.argpartition(far, probes - 1, axis=1)[:, :probes] if probes < cells else np.tile(np.arange(cells), (len(x), 1))
-                cell = far.argmin(1)
-                bits, length, inner = encode(x - c[cell], turn)
-                codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits.shape[1]), len(x), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
-                asked = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * probes), pa.array(first.reshape(-1).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell, pa.int32()), codes, pa.array(length), pa.array(inner), asked], names=["vec_id", "v", "cell", "code", "length", "inner", "asked"])
-
-    placed = stored(vectors.mapInArrow(place, "vec_id long, v array<float>, cell int, code binary, length double, inner double, asked array<int>"), "placed")
-    own = placed.groupBy("cell").count()
-    asking = placed.select(F.explode("asked").alias("cell")).groupBy("cell").count().withColumnRenamed("count", "queries")
-    # At most ``max_cells`` rows: how many parts each cell is cut into.
-    parts = own.join(asking, "cell").select("cell", F.ceil(F.col("count") / part_rows).cast("int").alias("dp"), F.ceil(F.col("count") / part_queries).cast("int").alias("op"), F.ceil(F.col("queries") / part_queries).cast("int").alias("qp")).collect()
-    cut = spark.createDataFrame([tuple(r) for r in parts], "cell int, dp int, op int, qp int")
-
-    def met(asked: DataFrame, queries: str) -> DataFrame:
-        """Queries against the cells that they ask, part by part."""
-        here = placed.select("vec_id", "v", "cell", "code", "length", "inner").join(F.broadcast(cut), "cell")
-        here = here.withColumn("d", F.pmod(F.xxhash64("vec_id"), F.col("dp")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col(queries) - 1))).drop("dp", "op", "qp")
-        there = asked.join(F.broadcast(cut), "cell").withColumn("q", F.pmod(F.xxhash64("vec_id"), F.col(queries)).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("dp") - 1))).drop("dp", "op", "qp")
-        there = there.select(*(F.col(x).alias(x) for x in there.columns))  # columns of its own: both sides come from one table
-        return here.groupBy("cell", "d", "q").cogroup(there.groupBy("cell", "d", "q")).applyInArrow(_search(k, epsilon, c_held, turn_held), _PAIRS)
-
-    nth = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))
-    first = met(placed.select("vec_id", "v", "cell", F.lit(-2.0).alias("least")), "op")
-    first = stored(first.withColumn("rank", nth).where(F.col("rank") <= k), "nearest")
-    if probes > 1:
-        limit = first.where(F.col("rank") == k).select("vec_id", F.col("similarity").alias("limit"))
-        others = placed.join(limit, "vec_id", "left").select("vec_id", "v", F.explode(F.filter("asked", lambda a: a != F.col("cell"))).alias("cell"), F.coalesce("limit", F.lit(-2.0)).alias("least"))
-        first = first.drop("rank").unionByName(met(others, "qp")).withColumn("rank", nth).where(F.col("rank") <= k)
-    return first.select("vec_id", F.col("rank").cast(T.IntegerType()), "neighbour_id", "similarity")
+                first = np.take_along_axis(first, np.argsort(np.take_along_axis(far, first, 1), axis=1, kind="stable"), 1)
+                own, cell = np.repeat(np.arange(len(x)), probes), first.reshape(-1)
+                times = parts[cell]
+                nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                own, cell, where = np.repeat(own, times), np.repeat(cell, times), np.repeat(block[cell], times) + nth
+                by = np.lexsort((np.arange(len(own)), where, own))
+                own, cell, where = own[by], cell[by], where[by]
+                begin = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (where[1:] != where[:-1])))
+                rows = pa.array(own[begin])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(own)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(where[begin]), lists], names=["q", "v", "block", "cells"])
+
+    cut = F.broadcast(spark.createDataFrame([(i, int(b), int(p)) for i, (b, p) in enumerate(zip(block, parts, strict=True))], "cell int, block long, parts long"))
+    here = placed.join(cut, "cell").select("vec_id", "cell", "code", "length", "inner", "along", (F.col("block") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("block"))
+    questions = asking.mapInArrow(ask, "q long, v array<float>, block long, cells array<int>")
+    shares = max(1, -(-asking.count() // part_queries))
+    here = here.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))) if shares > 1 else here.withColumn("share", F.lit(0))
+    questions = questions.withColumn("share", F.pmod(F.xxhash64("q"), F.lit(shares)).cast("int"))
+    found = here.groupBy("block", "share").cogroup(questions.groupBy("block", "share")).applyInArrow(_search(k, epsilon, c_held, turn_held), _CANDIDATE)
+    # The bound of all blocks together; then vectors come to the few candidates left.
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("least")))
+    floor = F.min(F.when(F.col("nth") == k, F.col("least"))).over(Window.partitionBy("q"))
+    left = found.withColumn("nth", nth).withColumn("floor", floor).where("floor is null or most >= floor").select("q", "vec_id")
+    pairs = left.join(vectors.select("vec_id", "v"), "vec_id").join(asking.select(F.col("vec_id").alias("q"), F.col("v").alias("w")), "q").select("q", "vec_id", "v", "w")
+    exact = pairs.mapInArrow(_compared, "vec_id long, neighbour_id long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))
+    return exact.withColumn("rank", rank.cast(T.IntegerType())).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", "similarity")
+
+
+def _binary(words: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(words.shape[1] * 8), len(words), [None, pa.py_buffer(np.ascontiguousarray(words).tobytes())]).cast(pa.binary())

@@ -152,15 +152,35 @@ def test_minmax_values_estimate_jaccard():
     assert rows.tolist() == [2] and s.shape == (1, 8)
 
 
-def test_one_bit_codes_are_unbiased_within_bounds():
+@pytest.mark.parametrize("bits", [64, 256])
+def test_one_bit_codes_are_unbiased_within_bounds(bits):
     rng = np.random.default_rng(2)
-    o, q = rng.standard_normal((2000, 64)), rng.standard_normal((50, 64))
-    turn = rotated_codes.rotation(64)
-    assert np.allclose(turn @ turn.T, np.eye(64))
-    guess, slack = rotated_codes.estimate(*rotated_codes.encode(o, turn), q, turn, 2.5)
+    o, q = rng.standard_normal((2000, 48)), rng.standard_normal((50, 48))
+    size = rotated_codes.code_size(48, bits)
+    turn = rotated_codes.rotation(size)
+    assert size == bits and np.allclose(turn @ turn.T, np.eye(size))
+    codes, length, inner = rotated_codes.encode(o, turn[:48])
+    assert codes.shape == (2000, bits // 64) and codes.dtype == np.uint64
+    guess, slack = rotated_codes.estimate(codes, length, inner, rotated_codes.planes(q, turn[:48]), np.linalg.norm(q, axis=1), 2.5)
     error = guess - q @ o.T
     assert abs(error.mean()) < 0.05
     assert (np.abs(error) <= slack).mean() > 0.97
+    # Counting bits gives what multiplying signs with the rounded query gives.
+    signs = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little").astype(float) * 2 - 1
+    exact = (q @ turn[:48]) @ signs.T * (length / inner / np.sqrt(size))
+    assert np.abs(guess - exact).max() < 0.35 * np.abs(exact).std()
+
+
+def test_blocks_hold_near_cells_and_split_large_ones():
+    rng = np.random.default_rng(4)
+    counts = np.append(rng.integers(0, 40, 60), [500, 0])
+    block, parts = rotated_codes.blocks(rng.standard_normal((62, 8)), counts, 100)
+    assert parts[60] == 5 and (np.delete(parts, 60) == 1).all()
+    load: dict = {}
+    for cell in range(62):
+        for i in range(int(parts[cell])):
+            load.setdefault(int(block[cell]) + i, []).append(counts[cell] / parts[cell])
+    assert max(map(sum, load.values())) <= 100
 
 
 def brute_marginals(chain, scores, fresh):

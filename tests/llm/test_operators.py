@@ -124,27 +124,34 @@ def test_ngram_ratio_against_brute_force(docs, labels, none):
     assert ngram_ratio.thresholded(none, labels).count() == 0
 
 
-def test_neighbours_against_brute_force(spark):
+@pytest.mark.parametrize("clustered,every,options", [(True, 1, {"part_rows": 100, "part_queries": 200}), (True, 5, {}), (False, 3, {"part_rows": 50, "bits": 64})])
+def test_neighbours_against_brute_force(spark, clustered, every, options):
     rng = np.random.default_rng(7)
     center = rng.standard_normal((12, 24))
-    x = (center[rng.integers(0, 12, 900)] + 0.4 * rng.standard_normal((900, 24))).astype(np.float32)
+    x = (center[rng.integers(0, 12, 900)] * clustered + 0.4 * rng.standard_normal((900, 24))).astype(np.float32)
     x[5] = x[6] = x[4]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2, x[2].tolist()), (None, x[0].tolist()), (1000, None), (1001, []), (1002, [0.0] * 24), (1003, [1.0, 2.0]), (1004, [float("nan")] * 24)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("cell", F.lit(2))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for name in ("v", "cell", "q", "block", "share", "rank"):
+        df = df.withColumn(name, F.lit(1))
     got: dict = {}
-    for r in rotated_codes.neighbours(df, k=10, part_rows=100, part_queries=200).collect():
+    for r in rotated_codes.neighbours(df, k=10, every=every, **options).collect():
         got.setdefault(r.vec_id, {})[r.rank] = (r.neighbour_id, r.similarity)
-    assert set(got) == set(range(900)) and all(sorted(v) == list(range(1, 11)) for v in got.values())
+    asked = range(0, 900, every)
+    assert set(got) == set(asked) and all(sorted(v) == list(range(1, 11)) for v in got.values())
     u = x.astype(float) / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -9)
     top = np.argsort(-s, axis=1)[:, :10]
-    recall = np.mean([len({n for n, _ in got[i].values()} & set(top[i].tolist())) / 10 for i in range(900)])
+    recall = np.mean([len({n for n, _ in got[i].values()} & set(top[i].tolist())) / 10 for i in asked])
     assert recall >= 0.9
-    assert got[4][1][0] == 5 and got[4][2][0] == 6 and abs(got[4][1][1] - 1) < 1e-5
-    few = rotated_codes.neighbours(df.where("vec_id < 3"), k=10).collect()
-    assert len(few) == 6
-    assert rotated_codes.neighbours(df.limit(0)).count() == 0 and rotated_codes.neighbours(df.where("vec_id = 1")).count() == 0
+    assert all(abs(s[i, n] - v) < 2e-6 for i, own in got.items() for n, v in own.values())
+    if every == 1:
+        assert got[4][1][0] == 5 and got[4][2][0] == 6 and abs(got[4][1][1] - 1) < 1e-5
+        few = rotated_codes.neighbours(df.where("vec_id < 3"), k=10, every=1).collect()
+        assert len(few) == 6
+        assert rotated_codes.neighbours(df.limit(0)).count() == 0 and rotated_codes.neighbours(df.where("vec_id = 1"), every=1).count() == 0
+        assert rotated_codes.neighbours(df.where("vec_id between 1 and 9")).count() == 0
 
 
 def test_near_duplicates(spark, docs, none):
