@@ -417,7 +417,7 @@ def detected(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """``doc_id, n_found, found, text`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.eased(batches):
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 rows = list(_found(part.column(1)))
@@ -432,7 +432,9 @@ def detected(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 @F.arrow_udf(T.StringType())
 def _redacted(column: pa.Array) -> pa.Array:
-    return pa.array([t if not s else redact(t, s) for t, s in _found(column)], pa.string())
+    out = pa.array([t if not s else redact(t, s) for t, s in _found(column)], pa.string())
+    arrays.release()
+    return out
 
 
 def redacted_column(text: Column) -> Column:

@@ -6,6 +6,7 @@ Python loop over characters.  Null text counts as the empty text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,12 @@ import pyarrow.compute as pc
 
 #: Text is worked on in slices of about this many bytes, so that the arrays
 #: derived from it stay small; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
 _U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 #: A random 64-bit value for each byte, and an odd base for positions.
@@ -24,6 +29,20 @@ BASE = _U64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 
 
+def eased(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, what its arrays took goes back to the system, so that a worker holds no more than its largest batch needs."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def powers(n: int) -> np.ndarray:
     """``BASE ** i`` modulo 2**64 for ``i < n``."""
     global _POWERS

@@ -500,7 +500,7 @@ def encode_decode(df: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, merges = transducing_encoder(vocabulary), merge_list(vocabulary)
-        for batch in batches:
+        for batch in arrays.eased(batches):
             ids_column, texts = batch.column(0), arrays.text_column(batch.column(1))
             for lo, hi in arrays.slices(texts):
                 part = texts.slice(lo, hi - lo)

@@ -6,9 +6,10 @@ weights, one weight a language.  A matrix of learned transitions links neighbour
 that a word is labelled with regard to those around it: text may change its language
 midway.  Forward-backward gives the probability of each language for each word.
 
-Training.  Bounded: at most ``sample_rows`` documents of each language (those with the
-least hash of their id), of at most ``max_languages`` languages, on the driver.  Chunks of
-their words are shuffled into sequences that change language, which teaches transitions.
+Training.  Bounded: chunks of ``CHUNK`` words, drawn by hash from all of the text of at most ``sample_rows``
+documents of each language (those with the least hash of their id), ``sample_words`` words in all, shared out
+evenly among all languages that occur.  Only these words come to the driver.  They are shuffled into sequences that change
+language, which teaches transitions.  ``max_languages`` is None: no language is left out.
 
 Inference works on the words of an Arrow slice as one chain, broken between documents.
 The chain is cut into lanes that advance together; the product of each lane's step
@@ -41,7 +42,8 @@ from . import arrays
 
 BITS = 16
 SAMPLE_ROWS = 150
-MAX_LANGUAGES = 32
+SAMPLE_WORDS = 160_000
+CHUNK = 40
 MIN_SHARE = 0.5
 SCHEMA = "doc_id long, lang string, share double, n_words long, accepted boolean, spans array<struct<lang:string,first:int,words:int>>"
 _U64 = np.uint64
@@ -115,27 +117,10 @@ class Chain:
         new[0] = True
         new = np.ascontiguousarray(new.reshape(shape).T)
         a, pi = self.transitions, self.initial
-        # Each lane's product of step matrices, scaled.
-        product = np.broadcast_to(np.eye(k), (width, k, k)).copy()
-        for t in range(steps):
-            moved = product @ a
-            if new[t].any():
-                rows = np.flatnonzero(new[t])
-                moved[rows] = product[rows].sum(2, keepdims=True) * pi
-            product = moved * emit[t][:, None, :]
-            product /= product.max(axis=(1, 2), keepdims=True)
-        enter = np.empty((width, k))
-        message = pi.copy()
-        for w in range(width):
-            enter[w] = message
-            message = message @ product[w]
-            message /= message.sum()
-        leave = np.empty((width, k))
-        message = np.ones(k)
-        for w in range(width - 1, -1, -1):
-            leave[w] = message
-            message = product[w] @ message
-            message /= message.sum()
+        if new[0].all():  # no message crosses from lane to lane
+            enter, leave = np.broadcast_to(pi, (width, k)), np.ones((width, k))
+        else:
+            enter, leave = self._messages(emit, new)
         alpha = np.empty((steps, width, k))
         now = enter
         for t in range(steps):
@@ -157,9 +142,34 @@ class Chain:
             return probability
         before, after = flat(alpha)[:-1], flat(emit)[1:] * flat(beta)[1:]
         linked = ~fresh[1:]
-        joint = (before[:, :, None] * a[None] * after[:, None, :])[linked]
-        joint /= joint.sum((1, 2), keepdims=True)
-        return probability, joint.sum(0)
+        before, after = before[linked], after[linked]
+        return probability, a * ((before / ((before @ a) * after).sum(1, keepdims=True)).T @ after)
+
+    def _messages(self, emit: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What enters each lane from the left and from the right."""
+        (steps, width, k), a, pi = emit.shape, self.transitions, self.initial
+        # Each lane's product of step matrices, scaled.
+        product = np.broadcast_to(np.eye(k), (width, k, k)).copy()
+        for t in range(steps):
+            moved = product @ a
+            if new[t].any():
+                rows = np.flatnonzero(new[t])
+                moved[rows] = product[rows].sum(2, keepdims=True) * pi
+            product = moved * emit[t][:, None, :]
+            product /= product.max(axis=(1, 2), keepdims=True)
+        enter = np.empty((width, k))
+        message = pi.copy()
+        for w in range(width):
+            enter[w] = message
+            message = message @ product[w]
+            message /= message.sum()
+        leave = np.empty((width, k))
+        message = np.ones(k)
+        for w in range(width - 1, -1, -1):
+            leave[w] = message
+            message = product[w] @ message
+            message /= message.sum()
+        return enter, leave
 
 
 @dataclass
@@ -174,8 +184,10 @@ class Model:
         return Chain(np.exp(self.transitions), np.exp(self.initial))
 
 
-def trained(texts: list[str], langs: list[str], rounds: int = 24, rate: float = 0.35, chunk: int = 40, seed: int = 3) -> Model | None:
-    """A model of whole ``texts``, each in one language as far as is known."""
+def trained(texts: list[str], langs: list[str], rounds: int = 24, rate: float = 0.35, chunk: int = CHUNK, chunks: int = 8, seed: int = 3) -> Model | None:
+    """A model of whole ``texts``, each in one language as far as is known.
+
+    Sequences of ``chunks`` chunks are worked on some at a time, so that memory doesn't grow with their number."""
     names = sorted(set(langs))
     if not names:
         return None
@@ -184,9 +196,11 @@ def trained(texts: list[str], langs: list[str], rounds: int = 24, rate: float =
     k = len(names)
     if len(hashes) == 0:
         return None
-    label = np.repeat(np.array([names.index(x) for x in langs]), counts)
+    number = {x: i for i, x in enumerate(names)}
+    label = np.repeat(np.array([number[x] for x in langs]), counts)
     _, at, kind = np.unique(hashes, return_index=True, return_inverse=True)
-    rows, per = word_features(data, start[at], end[at], hashes[at])
+    parts = [word_features(data, start[at[lo : lo + 4096]], end[at[lo : lo + 4096]], hashes[at[lo : lo + 4096]]) for lo in range(0, len(at), 4096)]
+    rows, per = np.concatenate([r.astype(np.int32) for r, _ in parts]), np.concatenate([n for _, n in parts])
     # Chunks of words of one document, in an order that mixes languages.
     doc = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -195,9 +209,9 @@ def trained(texts: list[str], langs: list[str], rounds: int = 24, rate: float =
     rng = np.random.Generator(np.random.PCG64(seed))
     order = np.argsort(rng.permutation(int(piece.max()) + 1)[piece], kind="stable")
     kind, label = kind[order], label[order]
-    fresh = np.zeros(len(kind), bool)
-    fresh[:: chunk * 20] = True
-    wanted = np.zeros((len(at), k))
+    length, lanes = chunk * chunks, max(16, 2048 // k)
+    fresh = np.arange(len(kind)) % length == 0
+    wanted = np.zeros((len(at), k), np.float32)
     np.add.at(wanted, (kind, label), 1.0)
     linked = ~fresh[1:]
     wanted_pairs = np.zeros((k, k))
@@ -205,36 +219,75 @@ def trained(texts: list[str], langs: list[str], rounds: int = 24, rate: float =
     starts = np.bincount(label[fresh], minlength=k)
     model = Model(names, np.zeros((1 << BITS, k), np.float32), np.log(np.full((k, k), 0.1 / k) + np.eye(k) * 0.9), np.log((starts + 1) / (starts + 1).sum()))
     scale = (1 / np.sqrt(np.maximum(per, 1))).astype(np.float32)
-    entry = np.repeat(np.arange(len(at)), per)
     by_row = np.argsort(rows, kind="stable")
-    sorted_rows, sorted_entry = rows[by_row], entry[by_row]
+    sorted_rows, sorted_entry = rows[by_row], np.repeat(np.arange(len(at), dtype=np.int32), per)[by_row]
     cut = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1])) if len(rows) else np.zeros(0, np.int64)
-    squares = np.full(len(cut), 1e-6)[:, None] * np.ones(k)
+    used = sorted_rows[cut]
+    squares = np.full((len(cut), k), 1e-6, np.float32)
     pair_squares = np.full((k, k), 1e-6)
     for _ in range(rounds):
-        scores = word_scores(model.weights, rows, per)[kind]
-        p, pairs = model.chain.marginals(scores, fresh, pairs=True)
-        got = np.column_stack([np.bincount(kind, p[:, j], len(at)) for j in range(k)])
-        if len(cut):
-            slope = ((wanted - got) * scale[:, None]).astype(np.float32)
-            g = np.add.reduceat(slope[sorted_entry], cut, axis=0) - 0.02 * model.weights[sorted_rows[cut]]
-            squares += g**2
-            model.weights[sorted_rows[cut]] += (rate * g / np.sqrt(squares)).astype(np.float32)
+        known = word_scores(model.weights, rows, per)
+        got, pairs, chain = np.zeros((len(at), k), np.float32), np.zeros((k, k)), model.chain
+        for lo in range(0, len(kind), length * lanes):
+            here = kind[lo : lo + length * lanes]
+            p, some = chain.marginals(known[here], fresh[lo : lo + length * lanes], -(-len(here) // length), pairs=True)
+            pairs += some
+            for j in range(k):
+                got[:, j] += np.bincount(here, p[:, j], len(at))
+        slope = (wanted - got) * scale[:, None]
+        for lo in range(0, len(cut), 4096):
+            block = slice(lo, min(lo + 4096, len(cut)))
+            first, last = cut[lo], cut[block.stop] if block.stop < len(cut) else len(sorted_entry)
+            g = np.add.reduceat(slope[sorted_entry[first:last]], cut[block] - first, axis=0) - 0.02 * model.weights[used[block]]
+            squares[block] += g**2
+            model.weights[used[block]] += rate * g / np.sqrt(squares[block])
         g = wanted_pairs - pairs - 0.1 * model.transitions
         pair_squares += g**2
         model.transitions = np.clip(model.transitions + rate * g / np.sqrt(pair_squares), -9, 3)
     return model
 
 
-def fitted(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> Model | None:
-    """The model of ``sample_rows`` documents of each of the ``max_languages`` most frequent languages."""
+def chunks(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``k, l, n, t``: every chunk of ``chunk`` words of the texts of ``df`` (``k, l, t``), ``n`` its number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrays.eased(batches):
+            texts = arrays.text_column(batch.column(2))
+            for lo, hi in arrays.slices(texts):
+                data, offsets = arrays.raw(texts.slice(lo, hi - lo))
+                _, start, end, counts = arrays.words(data, offsets)
+                pieces = -(-counts // chunk)
+                row = np.repeat(np.arange(hi - lo), pieces)
+                n = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = np.repeat(np.cumsum(counts) - counts, pieces) + n * chunk
+                last = np.minimum(first + chunk, np.repeat(np.cumsum(counts), pieces)) - 1
+                body = data.tobytes()
+                cut = [body[a:b] for a, b in zip(start[first].tolist(), end[last].tolist(), strict=True)] if len(row) else []
+                own = batch.select([0, 1]).slice(lo, hi - lo).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(n, pa.int32()), pa.array(cut, pa.binary()).cast(pa.string())], names=["k", "l", "n", "t"])
+
+    return df.select("k", "l", "t").mapInArrow(run, "k long, l string, n int, t string")
+
+
+def fitted(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, max_languages: int | None = None
+) -> Model | None:
+    """The model of a bounded sample of the words of every language, or of the ``max_languages`` most frequent ones."""
     tagged = df.select(df[id_column].cast("long").alias("k"), df[lang_column].cast("string").alias("l")).where("k is not null and l is not null and l <> ''")
-    top = tagged.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages)
+    top = tagged.groupBy("l").count().orderBy(F.desc("count"), "l")
+    languages = [r["l"] for r in (top.limit(max_languages) if max_languages else top).collect()]
+    if not languages:
+        return None
+    if max_languages:
+        tagged = tagged.where(F.col("l").isin(languages))
     nth = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
-    chosen = tagged.join(F.broadcast(top.select("l")), "l", "left_semi").withColumn("n", nth).where(F.col("n") <= sample_rows).select("k").distinct()
-    rows = df.select(df[id_column].cast("long").alias("k"), df[text_column].cast("string").alias("t"), df[lang_column].cast("string").alias("l")).where("t is not null and l is not null and l <> ''")
-    sample = rows.join(F.broadcast(chosen), "k", "left_semi").orderBy("k", "l", "t").toPandas()
-    return trained(sample["t"].tolist(), sample["l"].tolist())
+    chosen = tagged.withColumn("n", nth).where(F.col("n") <= sample_rows).select("k", "l").distinct()
+    rows = df.select(df[id_column].cast("long").alias("k"), df[lang_column].cast("string").alias("l"), df[text_column].cast("string").alias("t")).where("t is not null")
+    each = max(1, sample_words // CHUNK // len(languages))
+    share = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k", "n"), "k", "n", "t"))
+    sample = chunks(rows.join(F.broadcast(chosen), ["k", "l"], "left_semi")).withColumn("i", share).where(F.col("i") <= each)
+    sample = sample.orderBy("k", "l", "n", "t").select("l", "t").toArrow()
+    return trained(sample.column("t").to_pylist(), sample.column("l").to_pylist())
 
 
 class Labeller:
@@ -301,7 +354,7 @@ def _run(held, min_share: float, with_spans: bool):
         model = held.value
         labeller = Labeller(model) if model else None
         names = pa.array(model.languages if model else [], pa.string())
-        for batch in batches:
+        for batch in arrays.eased(batches):
             texts = arrays.text_column(batch.column(1))
             for lo, hi in arrays.slices(texts):
                 part, n = texts.slice(lo, hi - lo), hi - lo
@@ -322,16 +375,20 @@ def _run(held, min_share: float, with_spans: bool):
     return run
 
 
-def identified(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", min_share: float = MIN_SHARE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def identified(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", min_share: float = MIN_SHARE, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, max_languages: int | None = None
+) -> DataFrame:
     """``doc_id, lang, share, n_words, accepted, spans`` of every row."""
-    held = df.sparkSession.sparkContext.broadcast(fitted(df, id_column, text_column, lang_column, sample_rows))
+    held = df.sparkSession.sparkContext.broadcast(fitted(df, id_column, text_column, lang_column, sample_rows, sample_words, max_languages))
     rows = df.select(df[id_column].cast("long").alias("doc_id"), df[text_column].cast("string").alias("text"))
     return rows.mapInArrow(_run(held, min_share, True), SCHEMA)
 
 
-def filtered(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", min_share: float = MIN_SHARE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def filtered(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", min_share: float = MIN_SHARE, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, max_languages: int | None = None
+) -> DataFrame:
     """The rows of ``df`` that are accepted, with all its columns."""
-    held = df.sparkSession.sparkContext.broadcast(fitted(df, id_column, text_column, lang_column, sample_rows))
+    held = df.sparkSession.sparkContext.broadcast(fitted(df, id_column, text_column, lang_column, sample_rows, sample_words, max_languages))
 
     @F.arrow_udf("boolean")
     def accepted(column: pa.Array) -> pa.Array:
@@ -344,6 +401,7 @@ def filtered(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 out.append((counts > 0) & (share >= min_share))
             else:
                 out.append(arrays.words(*arrays.raw(texts.slice(lo, hi - lo)))[3] > 0)
+        arrays.release()
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     accepted_state: dict = {}

@@ -84,7 +84,7 @@ def counted(df: DataFrame, id_column: str, text_column: str, trusted: DataFrame,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in arrays.eased(batches):
             good, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(bool), arrays.text_column(batch.column(1))
             for lo, hi in arrays.slices(texts):
                 at, per = grams(texts.slice(lo, hi - lo), buckets)
@@ -114,7 +114,7 @@ def ratio_scores(df: DataFrame, id_column: str, text_column: str, ratios: np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
-        for batch in batches:
+        for batch in arrays.eased(batches):
             texts = arrays.text_column(batch.column(1))
             for lo, hi in arrays.slices(texts):
                 at, per = grams(texts.slice(lo, hi - lo), buckets)

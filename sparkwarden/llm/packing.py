@@ -82,7 +82,7 @@ def pack(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", ca
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = bpe.library_encoder(vocabulary), Packer(capacity, open_windows)
-        for batch in batches:
+        for batch in arrays.eased(batches):
             texts = arrays.text_column(batch.column(1))
             for lo, hi in arrays.slices(texts):
                 sizes = np.diff(encoder.encode(texts.slice(lo, hi - lo))[1]).tolist()

@@ -104,6 +104,7 @@ def statistics_column(text: Column) -> Column:
         texts = arrays.text_column(column)
         parts = [statistics(texts.slice(lo, hi - lo)).reshape(-1) for lo, hi in arrays.slices(texts)]
         flat = np.concatenate(parts) if parts else np.zeros(0)
+        arrays.release()
         k = len(STATISTICS)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * k), pa.array(flat))
 

@@ -116,7 +116,7 @@ def packed_tokens(df: DataFrame, id_column: str = "doc_id", text_column: str = "
                 names=["part", "blob", "doc_ids", "doc_starts", "n_tokens", "bits", "payload"],
             )
 
-        for batch in batches:
+        for batch in arrays.eased(batches):
             names, texts = batch.column(0), arrays.text_column(batch.column(1))
             for lo, hi in arrays.slices(texts):
                 ids, offsets = encoder.encode(texts.slice(lo, hi - lo))
