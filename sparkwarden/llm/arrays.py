@@ -165,15 +165,18 @@ class HashIndex:
     def __init__(self, bits: int = 16):
         self.keys, self.values, self.used = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
 
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * BASE) >> _U64(65 - len(self.keys).bit_length())).astype(np.int64)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The value of each key, -1 where there is none."""
-        mask = _U64(len(self.keys) - 1)
-        at = (keys & mask).astype(np.int64)
+        mask = len(self.keys) - 1
+        at = self._place(keys)
         there = self.keys[at]
         out = np.where(there == keys, self.values[at], np.int32(-1))
         todo = np.flatnonzero((there != keys) & (there != 0))
         while len(todo):
-            at[todo] = (at[todo] + 1) & int(mask)
+            at[todo] = (at[todo] + 1) & mask
             there = self.keys[at[todo]]
             hit = there == keys[todo]
             out[todo[hit]] = self.values[at[todo[hit]]]
@@ -191,7 +194,7 @@ class HashIndex:
             self.keys, self.values, self.used = np.zeros(size, np.uint64), np.zeros(size, np.int32), 0
             self.add(*old)
         mask = len(self.keys) - 1
-        at = (keys & _U64(mask)).astype(np.int64)
+        at = self._place(keys)
         todo = np.arange(len(keys))
         while len(todo):
             free = todo[self.keys[at[todo]] == 0]

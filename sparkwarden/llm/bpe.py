@@ -3,18 +3,22 @@
 Encoding.  For a merge list the encoding of every prefix of a text is unique, so
 each prefix has one *last token*: the only token ``t`` ending there that may
 follow the last token of the prefix before it ("may follow": the two tokens side
-by side are their own encoding).  :class:`Transducer` keeps just these last
+by side are their own encoding).  A transducer keeps just these last
 tokens.  A later byte can change a token only through a chain of merges of
 falling rank, so the merge list itself bounds how far ahead one must look
-(:func:`sufficient_lookahead`); what lies further back is emitted and forgotten.
-Memory is the lookahead plus one block, whatever the length of the input.
+(:func:`sufficient_lookahead`).  A transducer holds at most that lookahead plus the longest token
+(``MergeList.keep`` bytes); when so many are held, all tokens that end before the lookahead are stable,
+are emitted and forgotten.  Memory is constant, whatever the length of the input.
+
+:class:`Lockstep` is the transducer over many pretokens at once, a byte of all of them at a time; what
+is left of a few very long ones is handed over, state and all, to a :class:`Transducer` each, which is the same machine for one.
 
 Decoding.  :class:`TextDecoder` is a byte-to-text state machine that gives out
 whole characters only and carries the unfinished tail of one from token to token.
 
 Texts are cut into pretokens first, vectorised over a whole Arrow slice, and each
 distinct pretoken is encoded once per worker (the memory of known pretokens is
-bounded and starts afresh when full).
+bounded and starts afresh when full).  What is looked up by hash is compared byte by byte.
 
 Edge cases.  Null and empty texts have no tokens; repeated rows are encoded each
 for itself; texts of any length are encoded whole; extra columns are ignored.
@@ -25,7 +29,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +67,7 @@ class MergeList:
         self.known_pairs: dict[int, bool] = {}
         self.lengths = [n for n in (3, 2, 4, 1, 5, 6, *range(7, self.longest + 1)) if n in {len(t) for t in ranks}]
         self.lookahead = sufficient_lookahead(self)
+        self.keep = self.lookahead + self.longest
 
     def _split(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The two parts left when ``token`` is encoded by merges of lower rank alone."""
@@ -129,11 +134,12 @@ def sufficient_lookahead(merges: MergeList) -> int:
 class Transducer:
     """Encodes one pretoken fed in pieces; emits tokens as soon as they are stable."""
 
-    def __init__(self, merges: MergeList, block: int = 4096):
+    def __init__(self, merges: MergeList, held: bytes = b"", last: Iterable[int] = (), before: int = -1):
         self.merges = merges
-        self.keep = merges.lookahead + merges.longest
-        self.block = block
         self._reset()
+        self.bytes += held
+        self.last += last
+        self.before = before
 
     def _reset(self) -> None:
         self.bytes = bytearray()
@@ -142,11 +148,14 @@ class Transducer:
 
     def feed(self, piece: bytes) -> list[int]:
         out: list[int] = []
-        for lo in range(0, len(piece), self.block):
-            self.bytes += piece[lo : lo + self.block]
+        at, keep, ahead = 0, self.merges.keep, self.merges.lookahead
+        while at < len(piece):
+            room = keep - len(self.bytes)
+            self.bytes += piece[at : at + room]
+            at += room
             self._advance()
-            if len(self.bytes) > self.keep + self.block:
-                out += self._emit(len(self.bytes) - self.keep)
+            if len(self.bytes) >= keep:
+                out += self._emit(len(self.bytes) - ahead)
         return out
 
     def finish(self) -> list[int]:
@@ -154,10 +163,6 @@ class Transducer:
         self._reset()
         return out
 
-    def encode(self, piece: bytes) -> list[int]:
-        whole = self.merges.ranks.get(piece)
-        return [whole] if whole is not None else self.feed(piece) + self.finish()
-
     def _advance(self) -> None:
         text, last, merges = bytes(self.bytes), self.last, self.merges
         get, compatible, known, size, before = merges.ranks.get, merges.compatible, merges.known_pairs, merges.size, self.before
@@ -199,107 +204,128 @@ class Transducer:
 
 
 class Lockstep:
-    """:class:`Transducer` over many short pretokens at once: the same last tokens, a byte position of all at a time."""
+    """Transducers over many pretokens at once, a byte position of all at a time.
 
-    #: Longer pretokens go through a transducer of their own.
-    MOST = 48
+    Each lane holds the last tokens and prefix hashes of its ``keep`` latest bytes at most, in a ring.
+    ``held`` is the most bytes that any lane has held so far."""
+
+    #: So few lanes are quicker one by one.
+    FEW = 4
 
     def __init__(self, merges: MergeList):
-        self.merges, self.single = merges, Transducer(merges)
-        short = [(t, r) for t, r in merges.ranks.items() if len(t) <= self.MOST]
-        body = np.frombuffer(b"".join(t for t, _ in short), np.uint8)
-        sizes = np.array([len(t) for t, _ in short])
+        self.merges, self.held = merges, 0
+        items = sorted(merges.ranks.items(), key=lambda kv: kv[1])
+        self.body = np.frombuffer(b"".join(t for t, _ in items), np.uint8)
+        sizes = np.array([len(t) for t, _ in items], np.int64)
         first = np.cumsum(sizes) - sizes
-        place = np.arange(len(body)) - np.repeat(first, sizes)
-        sums = np.add.reduceat(arrays.BYTE_VALUES[body] * arrays.powers(self.MOST + 1)[place], first)
+        place = np.arange(len(self.body)) - np.repeat(first, sizes)
+        sums = np.add.reduceat(arrays.BYTE_VALUES[self.body] * arrays.powers(merges.longest + 1)[place], first)
         self.vocabulary = arrays.HashIndex(18)
-        self.vocabulary.add(self._key(sums, sizes), np.array([r for _, r in short], np.int32))
-        self.sizes = np.array([len(t) for t in merges.tokens], np.int64)
+        ids = np.array([r for _, r in items], np.int32)
+        self.vocabulary.add(self._key(sums, sizes), ids)
+        self.first, self.sizes = np.zeros(merges.size, np.int64), np.zeros(merges.size, np.int64)
+        self.first[ids], self.sizes[ids] = first, sizes
         self.fits = arrays.HashIndex(16)
         self.inverse = pow(int(arrays.BASE), -1, 1 << 64)
 
     @staticmethod
     def _key(sums: np.ndarray, size) -> np.ndarray:
-        return arrays.mix(sums + np.uint64(1) * np.asarray(size).astype(np.uint64)) | np.uint64(1 << 63)
+        return arrays.mix(sums + np.asarray(size).astype(np.uint64)) | np.uint64(1 << 63)
 
     def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        pair = a.astype(np.uint64) * np.uint64(self.merges.size) + b.astype(np.uint64)
-        keys = arrays.mix(pair) | np.uint64(1 << 63)
+        # The pair itself is the key, so that no two pairs are taken for one another.
+        keys = (a.astype(np.uint64) * np.uint64(self.merges.size) + b.astype(np.uint64)) | np.uint64(1 << 63)
         out = self.fits.find(keys)
         new = np.flatnonzero(out < 0)
         if len(new):
             if self.fits.used > 1_000_000:
-                self.fits = arrays.HashIndex(16)
+                self.fits, new = arrays.HashIndex(16), np.arange(len(keys))
             distinct, at = np.unique(keys[new], return_index=True)
-            if self.fits.used == 0 or (self.fits.find(distinct) < 0).all():
-                may = self.merges._may_follow
-                self.fits.add(distinct, np.array([may(x, y) for x, y in zip(a[new[at]].tolist(), b[new[at]].tolist(), strict=True)], np.int32))
+            may = self.merges._may_follow
+            self.fits.add(distinct, np.array([may(x, y) for x, y in zip(a[new[at]].tolist(), b[new[at]].tolist(), strict=True)], np.int32))
             out = self.fits.find(keys)
         return out > 0
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, sizes)``: the tokens of all pieces one after the other, and how many each has."""
-        long = [i for i, x in enumerate(pieces) if len(x) > self.MOST]
+        keep, ahead = self.merges.keep, self.merges.lookahead
         lengths = np.array([len(x) for x in pieces], np.int64)
-        if long:
-            lengths[long] = 0
-            own = {i: self.single.encode(pieces[i]) for i in long}
-            pieces = [b"" if i in own else x for i, x in enumerate(pieces)]
         order = np.argsort(-lengths, kind="stable")
-        width = int(lengths.max(initial=0))
-        body = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in order.tolist()]), np.uint8).reshape(len(pieces), width)
-        lengths_sorted = lengths[order]
-        prefix = np.zeros((width + 1, len(pieces)), np.uint64)
-        pw = arrays.powers(width + 1)
-        for e in range(width):
-            prefix[e + 1] = prefix[e] + arrays.BYTE_VALUES[body[:, e]] * pw[e]
-        back = np.ones(width + 1, np.uint64)
-        if width:
-            back[1:] = np.multiply.accumulate(np.full(width, self.inverse, np.uint64))
-        last = np.full((width + 1, len(pieces)), -1, np.int64)
-        tokens_of = [n for n in self.merges.lengths if n <= self.MOST]
+        n, first, size = len(pieces), (np.cumsum(lengths) - lengths)[order], lengths[order]
+        width = int(size[0]) if n else 0
+        body = np.frombuffer(b"".join(pieces), np.uint8)
+        ring = min(keep, width) + 1
+        prefix, last = np.zeros((ring, n), np.uint64), np.full((ring, n), -1, np.int32)
+        base = np.zeros(n, np.int64)  # what lies before it has been emitted
+        back = [1] * ring  # the inverse of BASE to the power of each position held
+        power, inverse = 1, 1
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rest: list[tuple[int, int, list[int]]] = []
+
+        def emit(lanes: np.ndarray, end: int, until: int) -> None:
+            """Tokens of ``lanes`` from their base on that end at byte ``until`` or before it."""
+            at, now = np.full(len(lanes), end), lanes
+            done = base[lanes].copy()
+            which = np.arange(len(lanes))
+            while len(which):
+                token = last[at % ring, now]
+                if (token < 0).any():
+                    raise ValueError("the vocabulary lacks a token for a byte of the input")
+                stable = at <= until
+                out.append((now[stable], at[stable], token[stable]))
+                done[which] = np.maximum(done[which], np.where(stable, at, 0))
+                at = at - self.sizes[token]
+                more = at > base[now]
+                which, now, at = which[more], now[more], at[more]
+            base[lanes] = done
+
         for e in range(1, width + 1):
-            active = int(np.searchsorted(-lengths_sorted, -e, "right"))
+            active = int(np.searchsorted(-size, -e, "right"))
+            if active <= self.FEW and width - e > keep:
+                for lane in range(active):
+                    lo, hi = int(base[lane]), int(first[lane] + size[lane])
+                    single = Transducer(self.merges, body[first[lane] + lo : first[lane] + e - 1].tobytes(), [int(last[i % ring, lane]) for i in range(lo + 1, e)], int(last[lo % ring, lane]))
+                    rest.append((lane, e, single.feed(body[first[lane] + e - 1 : hi].tobytes()) + single.finish()))
+                break
+            now, before = e % ring, (e - 1) % ring
+            prefix[now, :active] = prefix[before, :active] + arrays.BYTE_VALUES[body[first[:active] + (e - 1)]] * np.uint64(power)
+            last[now, :active] = -2
+            power = power * int(arrays.BASE) & 0xFFFFFFFFFFFFFFFF
+            inverse = inverse * self.inverse & 0xFFFFFFFFFFFFFFFF
+            back[now] = inverse
             todo = np.arange(active)
-            for n in tokens_of:
-                if n > e or not len(todo):
+            for length in self.merges.lengths:
+                start = e - length
+                if start < 0 or not len(todo):
                     continue
-                start = e - n
-                token = self.vocabulary.find(self._key((prefix[e, todo] - prefix[start, todo]) * back[start], n))
-                known = np.flatnonzero(token >= 0)
+                there = start % ring
+                token = self.vocabulary.find(self._key((prefix[now, todo] - prefix[there, todo]) * np.uint64(back[there] if start else 1), length))
+                known = np.flatnonzero((token >= 0) & (start >= base[todo]))
+                for i in range(length):  # equal hashes aren't taken for equal bytes
+                    if len(known):
+                        known = known[self.body[self.first[token[known]] + i] == body[first[todo[known]] + (start + i)]]
+                known = known[self.sizes[token[known]] == length]
                 if start and len(known):
-                    before = last[start, todo[known]]
-                    known = known[before >= 0]
-                    known = known[self._compatible(last[start, todo[known]], token[known])]
+                    previous = last[there, todo[known]]
+                    known, previous = known[previous >= 0], previous[previous >= 0]
+                    known = known[self._compatible(previous, token[known])]
                 if len(known):
-                    last[e, todo[known]] = token[known]
-                    rest = np.ones(len(todo), bool)
-                    rest[known] = False
-                    todo = todo[rest]
-            if len(todo):
-                missing = [pieces[order[i]] for i in todo[:3].tolist()]
-                if not all(bytes([b]) in self.merges.ranks for x in missing for b in x):
-                    raise ValueError("the vocabulary lacks a token for a byte of the input")
-        rows, ends, found, steps = np.arange(len(pieces)), lengths_sorted.copy(), [], 0
-        at_row, at_step = [], []
-        rows = rows[ends > 0]
-        while len(rows):
-            token = last[ends[rows], rows]
-            found.append(token)
-            at_row.append(order[rows])
-            at_step.append(np.full(len(rows), -steps))
-            ends[rows] -= self.sizes[token]
-            rows = rows[ends[rows] > 0]
-            steps += 1
-        for i in long:
-            found.append(np.array(own[i], np.int64))
-            at_row.append(np.full(len(own[i]), i))
-            at_step.append(np.arange(len(own[i])))
-        if not found:
-            return np.zeros(0, np.int32), np.zeros(len(pieces), np.int64)
-        row = np.concatenate(at_row)
-        by = np.lexsort((np.concatenate(at_step), row))
-        return np.concatenate(found)[by].astype(np.int32), np.bincount(row, minlength=len(pieces))
+                    last[now, todo[known]] = token[known]
+                    todo = np.delete(todo, known)
+            self.held = max(self.held, int((e - base[:active]).max()))
+            going = int(np.searchsorted(-size, -(e + 1), "right"))
+            if going < active:
+                emit(np.arange(going, active), e, e)
+            full = np.flatnonzero(e - base[:going] >= keep)
+            if len(full):
+                emit(full, e, e - ahead)
+        for lane, e, tokens in rest:
+            out.append((np.full(len(tokens), lane), e + np.arange(len(tokens)), np.array(tokens, np.int32)))
+        if not out:
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+        lane, at, token = (np.concatenate(x) for x in zip(*out, strict=True))
+        row = order[lane]
+        return token[np.lexsort((at, row))].astype(np.int32), np.bincount(row, minlength=n)
 
 
 class TextDecoder:
@@ -326,12 +352,26 @@ class TextDecoder:
         return tail.decode("utf-8", "replace")
 
 
-def decode(merges: MergeList, ids: Iterable[int], block: int = 65536) -> str:
-    """The text of ``ids``, put together a block of tokens at a time."""
-    machine, tokens, ids, out = TextDecoder(), merges.tokens, list(ids), []
-    for lo in range(0, len(ids), block):
-        out.append(machine.feed(b"".join([tokens[i] for i in ids[lo : lo + block]])))
-    return "".join(out) + machine.finish()
+def decoded(merges: MergeList, ids: Iterable[int], block: int = 4096) -> Iterator[str]:
+    """The text of ``ids`` in pieces, ``block`` tokens at a time; nothing but the unfinished tail of a character is kept."""
+    machine, tokens = TextDecoder(), merges.tokens
+    for some in batched(ids, block):
+        yield machine.feed(b"".join([tokens[i] for i in some]))
+    yield machine.finish()
+
+
+def decode(merges: MergeList, ids: Iterable[int]) -> str:
+    return "".join(decoded(merges, ids))
+
+
+def restores(merges: MergeList, ids: Iterable[int], text: str) -> bool:
+    """Whether ``ids`` decode to ``text``, compared piece by piece."""
+    at = 0
+    for piece in decoded(merges, ids):
+        if not text.startswith(piece, at):
+            return False
+        at += len(piece)
+    return at == len(text)
 
 
 @lru_cache(maxsize=4)
@@ -433,43 +473,77 @@ class Encoder:
 
     def _forget(self) -> None:
         self.index = arrays.HashIndex(18)
-        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+        self.flat, self.used, self.slots = np.zeros(1 << 18, np.int32), 0, 0
         self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.body, self.bytes_used, self.at = np.zeros(1 << 20, np.uint8), 0, np.zeros(1 << 16, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)``: the tokens of all texts, and where those of each text begin."""
         data, start, counts = pretokens(texts)
         if len(start) == 0:
             return np.zeros(0, np.int32), np.zeros(len(counts) + 1, np.int64)
-        hashes = arrays.run_hashes(data, start)
+        length = np.diff(np.append(start, len(data)))
+        keys = _pretoken_keys(data, start, length)
         if self.index.used > self.most:
             self._forget()
-        slots = self.index.find(hashes)
+        slots = self.index.find(keys)
         new = np.flatnonzero(slots < 0)
+        cut = lambda at: [data[lo:hi].tobytes() for lo, hi in zip(start[at].tolist(), (start + length)[at].tolist(), strict=True)]
         if len(new):
-            keys, at = np.unique(hashes[new], return_index=True)
-            at = new[at]
-            body = data.tobytes()
-            los, his = start[at].tolist(), np.append(start[1:], len(data))[at].tolist()
-            self._add(keys, *self.pieces([body[lo:hi] for lo, hi in zip(los, his, strict=True)]))
-            slots[new] = self.index.find(hashes[new])
+            own, at = np.unique(keys[new], return_index=True)
+            pieces = cut(new[at])
+            self._add(own, pieces, *self.pieces(pieces))
+            slots[new] = self.index.find(keys[new])
+        # Long pretokens were looked up by hash: those of other bytes get ids of their own.
+        long = np.flatnonzero(length > 7)
+        if len(long):
+            n = length[long]
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            differ = self.body[np.repeat(self.at[slots[long]], n) + inside] != data[np.repeat(start[long], n) + inside]
+            other = long[np.logical_or.reduceat(differ, np.cumsum(n) - n)] if differ.any() else long[:0]
+            if len(other):
+                pieces = cut(other)
+                slots[other] = self._remember(pieces, *self.pieces(pieces))
         first, size = self.first[slots], self.size[slots]
         ends = np.cumsum(size, dtype=np.int64)
         take = np.arange(int(ends[-1]), dtype=np.int64) + np.repeat(first - (ends - size), size)
         per_text = np.append(0, ends)[np.append(0, np.cumsum(counts))]
         return self.flat[take], per_text
 
-    def _add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        slot = self.index.used
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while slot + len(keys) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+    def _add(self, keys: np.ndarray, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.index.add(keys, self._remember(pieces, ids, sizes))
+
+    def _remember(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The slots of ``pieces`` with their ids."""
+        slots = np.arange(self.slots, self.slots + len(pieces), dtype=np.int32)
+        self.slots += len(pieces)
+        body = np.frombuffer(b"".join(pieces) + bytes(8), np.uint8)
+        self.flat = _grown(self.flat, self.used + len(ids))
+        self.body = _grown(self.body, self.bytes_used + len(body))
+        self.first, self.size, self.at = (_grown(x, self.slots) for x in (self.first, self.size, self.at))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.first[slot : slot + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.size[slot : slot + len(keys)] = sizes
+        self.body[self.bytes_used : self.bytes_used + len(body)] = body
+        length = np.array([len(x) for x in pieces], np.int64)
+        self.first[slots], self.size[slots], self.at[slots] = self.used + np.cumsum(sizes) - sizes, sizes, self.bytes_used + np.cumsum(length) - length
         self.used += len(ids)
-        self.index.add(keys, np.arange(slot, slot + len(keys), dtype=np.int32))
+        self.bytes_used += len(body) - 8
+        return slots
+
+
+def _grown(x: np.ndarray, size: int) -> np.ndarray:
+    return x if size <= len(x) else np.concatenate([x, np.zeros(max(len(x), size - len(x)), x.dtype)])
+
+
+def _pretoken_keys(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Up to seven bytes and their number are their own key; longer pretokens have a hash with the highest bit set."""
+    keys = arrays.run_hashes(data, start)
+    short = np.flatnonzero(length <= 7)
+    own, n, at = length[short].astype(np.uint64) << np.uint64(56), length[short], start[short]
+    for i in range(7):
+        more = np.flatnonzero(n > i) if i else slice(None)
+        own[more] |= data[at[more] + i].astype(np.uint64) << np.uint64(8 * i)
+    keys[short] = own
+    return keys
 
 
 @lru_cache(maxsize=2)
@@ -506,7 +580,7 @@ def encode_decode(df: DataFrame, id_column: str = "doc_id", text_column: str = "
                 part = texts.slice(lo, hi - lo)
                 ids, offsets = encoder.encode(part)
                 flat, cuts = ids.tolist(), offsets.tolist()
-                same = [decode(merges, flat[a:b]) == t for a, b, t in zip(cuts[:-1], cuts[1:], part.to_pylist(), strict=True)]
+                same = [restores(merges, flat[a:b], t) for a, b, t in zip(cuts[:-1], cuts[1:], part.to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [ids_column.slice(lo, hi - lo), pa.array(np.diff(offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(same, pa.bool_())],
                     names=["doc_id", "n_tokens", "token_ids", "restored"],

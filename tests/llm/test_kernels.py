@@ -49,12 +49,53 @@ def test_transducer_streams_in_constant_memory(merges, reference):
     rng = random.Random(4)
     word = "".join(rng.choice("abcdeftheringüé") for _ in range(30_000)).encode()
     whole = reference._core_bpe.encode_single_piece(word)
-    one, out, most = bpe.Transducer(merges, block=256), [], 0
+    one, out, most = bpe.Transducer(merges), [], 0
     for lo in range(0, len(word), 97):
         out += one.feed(word[lo : lo + 97])
         most = max(most, len(one.bytes))
+        assert sum(len(merges.tokens[t]) for t in out) >= lo + 97 - merges.keep - 97
     assert out + one.finish() == whole
-    assert most <= merges.lookahead + merges.longest + 2 * 256
+    assert most < merges.keep == merges.lookahead + merges.longest
+
+
+def test_the_query_s_own_path_holds_no_more_than_lookahead_and_longest_token(merges, reference):
+    rng = random.Random(6)
+    makers = [lambda n: "".join(rng.choice("abcdeftheringüé") for _ in range(n)), lambda n: rng.choice("ae=-_ ").strip().ljust(1, "x") * n, lambda n: ("ing" * n)[:n], lambda n: "".join(rng.choice("ab") for _ in range(n))]
+    words = [m(n).encode() for m in makers for n in (1, 2, 30, 246, 247, 248, 260, 700, 2_000) for _ in range(3)] + [makers[0](20_000).encode()]
+    step = bpe.Lockstep(merges)
+    ids, sizes = step.encode(words)
+    cuts = np.append(0, np.cumsum(sizes))
+    for i, word in enumerate(words):
+        assert ids[cuts[i] : cuts[i + 1]].tolist() == reference._core_bpe.encode_single_piece(word)
+    assert merges.lookahead < step.held <= merges.keep
+
+
+def test_equal_hashes_of_unequal_pretokens_are_told_apart(reference):
+    """Sums over powers of any base modulo 2**64 are equal for this sequence and its opposite."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    body = np.frombuffer((a + b).encode(), np.uint8)
+    assert len(set(arrays.run_hashes(body, np.array([0, 4096])).tolist())) == 1
+    for encoder in (bpe.transducing_encoder(bpe.DEFAULT_VOCABULARY), bpe.library_encoder(bpe.DEFAULT_VOCABULARY)):
+        for texts in ([a], [b], [a, b, a]):
+            ids, at = encoder.encode(large(texts))
+            assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_decoding_takes_ids_one_by_one(merges):
+    text = "Größe — 日本語 and so on. " * 3_000
+    ids = bpe.transducing_encoder(bpe.DEFAULT_VOCABULARY).encode(large([text]))[0].tolist()
+    taken = [0]
+
+    def given_out():
+        for i in ids:
+            taken[0] += 1
+            yield i
+
+    pieces = bpe.decoded(merges, given_out(), block=16)
+    next(pieces)
+    assert taken[0] <= 16
+    assert bpe.decode(merges, given_out()) == text and bpe.restores(merges, iter(ids), text) and not bpe.restores(merges, iter(ids[:-1]), text)
 
 
 @given(st.text(max_size=200), st.integers(1, 7))
