@@ -46,11 +46,14 @@ def whole_word(stem: str) -> str:
 
 @lru_cache(maxsize=1)
 def builtin_lists() -> dict[str, dict[str, tuple[str, ...]]]:
-    """``{language: {"block": stems, "allow": stems}}`` in list order."""
-    text = files("sparkwarden.resources").joinpath("patterns.csv").read_text(encoding="utf-8")
-    found: dict[str, dict[str, list]] = {"en": {"block": [], "allow": []}, "de": {"block": [], "allow": []}}
-    for row in sorted(csv.DictReader(text.splitlines()), key=lambda r: int(r["ord"])):
-        found[row["lang"]][row["kind"]].append(whole_word(row["stem"]) if row["mode"] == "whole" else row["stem"])
+    """``{language: {"block": stems, "allow": stems}}`` in list order.
+
+    In the table ``~`` stands for any letters and ``=`` in front for a whole word."""
+    text = files("sparkwarden.resources").joinpath("lists.csv").read_text(encoding="utf-8")
+    found: dict[str, dict[str, list]] = {}
+    for row in csv.DictReader(text.splitlines()):
+        entry = row["entry"].replace("~", r"\p{L}*")
+        found.setdefault(row["lang"], {"block": [], "allow": []})[row["kind"]].append(whole_word(entry[1:]) if entry[0] == "=" else entry)
     return {lang: {kind: tuple(stems) for kind, stems in lists.items()} for lang, lists in found.items()}
 
 

@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Callable
 from importlib.resources import files
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ def preset(text: Column) -> Column:
 
 
 def detector(detect: Callable[[str], bool]) -> Callable[[Column], Column]:
-    """A Python function as a detector.  A text on which it raises counts as neither."""
+    """A Python function as a detector, called on Arrow batches.  A text on which it raises counts as neither."""
 
     def one(text: str) -> bool | None:
         try:
@@ -39,7 +40,11 @@ def detector(detect: Callable[[str], bool]) -> Callable[[Column], Column]:
         except Exception:
             return None
 
-    return lambda text: F.udf(one, T.BooleanType())(text)
+    @F.arrow_udf(T.BooleanType())
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([one(t) for t in column.to_pylist()], pa.bool_())
+
+    return run
 
 
 def evaluate(corpus: DataFrame, detect: Callable[[Column], Column] = preset) -> DataFrame:

@@ -16,13 +16,29 @@ def found(text, options=EN):
 
 def test_lists_are_whole():
     lists = patterns.builtin_lists()
-    assert {(lang, kind): len(stems) for lang, x in lists.items() for kind, stems in x.items()} == {("en", "block"): 45, ("en", "allow"): 97, ("de", "block"): 39, ("de", "allow"): 58}
+    assert set(lists) == {"en", "de"} and all(len(x["block"]) >= 40 and len(x["allow"]) >= 40 for x in lists.values())
     for x in lists.values():
+        assert all(len(set(stems)) == len(stems) for stems in x.values())
         for stem in (*x["block"], *x["allow"]):
             patterns.check(stem)
             patterns.check(patterns.expand(stem))
 
 
+@pytest.mark.parametrize("text", ["Die Klasse misst Wasser in Massen und verpasst den Kompass.", "Der Kumpel analysiert das Dokument im Kanal.", "Schinken, Krapfen und ein dickflüssiger Saft.", "Homöopathie ist homogen.", "Das Publikum schwankt kunterbunt.", "Ein harscher Marsch, ein Barsch."])
+def test_innocent_german(text):
+    assert found(text, BOTH) == []
+
+
+@pytest.mark.parametrize("text", ["The classic assistant assessed the glass.", "A cocktail in the cockpit with a peacock.", "Scunthorpe has a document on circumstances.", "A suspicious, spicy scrap.", "Coarse arsenic was parsed.", "Attach the debugger on Saturday.", "Swanky Fukuoka"])
+def test_innocent_english(text):
+    assert found(text, EN) == [] == found(text, BOTH)
+
+
+@pytest.mark.parametrize("text,want", [("Du Dreckschwein, du Drecksack!", ["Dreckschwein", "Drecksack"]), ("So ein Arschloch", ["Arsch"]), ("verdammte Scheiße", ["verdammt", "Scheiß"]), ("du Schwein, du Schweinehund", ["Schwein", "Schweinehund"]), ("Hurensohn, Blödmann, Trottel", ["Hurensohn", "Blödmann", "Trottel"]), ("a wanker and a bitch", ["wank", "bitch"])])
+def test_what_must_be_flagged(text, want):
+    assert found(text, BOTH) == want
+
+
 @pytest.mark.parametrize("text", ["", " ", "\n\t", "﻿"])
 def test_blank_text_is_one_clean_piece(text):
     assert kernel.segments(text, EN) == [(text, False)]
@@ -99,7 +115,7 @@ def test_normalize_maps_back():
 def test_registry():
     own = DEFAULT.register("de-AT", block=["oida"], extends="de")
     assert own.resolve("DE-at-x") == "de-at" and own.resolve("fr") is None and "en-GB" in own and "de-at" not in DEFAULT.codes()
-    assert own.lists("de-at").block[-1] == "oida" and len(own.lists("de-at").block) == 40
+    assert own.lists("de-at").block[-1] == "oida" and len(own.lists("de-at").block) == len(DEFAULT.lists("de").block) + 1
     with pytest.raises(LookupError):
         own.unregister("de")
     with pytest.raises(LookupError, match="cycle"):

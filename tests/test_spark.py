@@ -132,11 +132,11 @@ def test_tuning(spark):
 
 def test_attack_scores(spark):
     done = adversarial.evaluate(adversarial.attacks(spark))
-    for lang, passed, clean in (("en", 16 / 17, 1.0), ("de", 20 / 27, 1.0)):
+    for lang, passed, clean in (("en", 30 / 35, 1.0), ("de", 25 / 34, 1.0)):
         total = adversarial.score(adversarial.evaluate(adversarial.attacks(spark, [lang]))).first()
         assert (total.evasion_resistance, total.precision) == (pytest.approx(passed), clean)
-    assert adversarial.by_category(done).where("category is null").first()["total"] == 81
-    assert "phonetic-en" in adversarial.report(done, verbose=True) and adversarial.visible("a​") == "a<U+200B>"
+    assert adversarial.by_category(done).where("category is null").first()["total"] == 111
+    assert "rewriting-en-1" in adversarial.report(done, verbose=True) and adversarial.visible("a​") == "a<U+200B>"
     broken = adversarial.evaluate(adversarial.attacks(spark, categories=["control"]), adversarial.detector(lambda t: 1 / 0))
     assert adversarial.score(broken).first().passed == 0
     assert adversarial.score(done.limit(0)).first().precision == 1.0
