@@ -1,13 +1,14 @@
 """Text functions as Spark columns.
 
-A row enters Python only if a Java regular expression finds something that the kernel
-would have to look at; all other rows are answered by Spark itself.  Flagging and
-personal data share one Arrow evaluation (:func:`analysis`).
+Texts go to the kernel in Arrow batches; regular expressions of Java as a gate before it were measured to cost more
+than they save.  Flagging and personal data share one Arrow evaluation (:func:`analysis`), which
+returns no more than is asked for.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,12 +23,12 @@ FINDINGS = T.ArrayType(
     T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("confidence", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.StringType()))])
 )
 ERROR = T.StructType([T.StructField("stage", T.StringType()), T.StructField("message", T.StringType())])
-ANALYSIS = T.StructType([T.StructField("segments", SEGMENTS), T.StructField("hits", HITS), T.StructField("pii", FINDINGS), T.StructField("error", ERROR)])
+ANALYSIS = T.StructType([T.StructField("flagged", T.BooleanType()), T.StructField("segments", SEGMENTS), T.StructField("hits", HITS), T.StructField("pii", FINDINGS), T.StructField("error", ERROR)])
 
 _A_SEGMENTS = pa.list_(pa.struct([("text", pa.string()), ("is_profane", pa.bool_())]))
 _A_HITS = pa.list_(pa.struct([("word", pa.string()), ("hit", pa.string())]))
 _A_FINDINGS = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64()), ("evidence", pa.list_(pa.string()))]))
-_A_ANALYSIS = pa.struct([("segments", _A_SEGMENTS), ("hits", _A_HITS), ("pii", _A_FINDINGS), ("error", pa.struct([("stage", pa.string()), ("message", pa.string())]))])
+_A_ANALYSIS = pa.struct([("flagged", pa.bool_()), ("segments", _A_SEGMENTS), ("hits", _A_HITS), ("pii", _A_FINDINGS), ("error", pa.struct([("stage", pa.string()), ("message", pa.string())]))])
 
 
 def _segment_rows(pieces) -> list[dict]:
@@ -40,52 +41,30 @@ def _finding_rows(text: str, found) -> list[dict]:
     return [{"kind": f.kind, "text": f.text, "start": at[2 * i], "end": at[2 * i + 1], "confidence": f.confidence, "evidence": list(f.evidence)} for i, f in enumerate(found)]
 
 
-def _analysed(text: str, options: FilterOptions | None, pii_options: PiiOptions | None) -> dict:
-    """One row; an error in one stage leaves the other's result, and the first is told."""
-    out: dict = {"segments": None, "hits": None, "pii": None, "error": None}
+def _analysed(text: str, options: FilterOptions | None, pii_options: PiiOptions | None, segments: bool, words: bool) -> dict | None:
+    """One row, None if nothing is found; an error in one stage leaves the other's result, and the first is told."""
+    out: dict = {}
     if options:
         try:
-            spans = kernel.hits(text, options)
-            out["segments"] = _segment_rows(kernel.segments_of(text, spans))
-            out["hits"] = [{"word": kernel.enclosing_word(text, a, b).lower(), "hit": text[a:b].lower()} for a, b in spans]
+            if spans := kernel.hits(text, options):
+                out["flagged"] = True
+                if segments:
+                    out["segments"] = _segment_rows(kernel.segments_of(text, spans))
+                if words:
+                    out["hits"] = [{"word": kernel.enclosing_word(text, a, b).lower(), "hit": text[a:b].lower()} for a, b in spans]
         except Exception as why:  # isolated per record
             out["error"] = {"stage": "filter", "message": str(why)}
     if pii_options:
         try:
-            out["pii"] = _finding_rows(text, pii.detect(text, pii_options))
+            if found := pii.detect(text, pii_options):
+                out["pii"] = _finding_rows(text, found)
         except Exception as why:
-            out["error"] = out["error"] or {"stage": "pii", "message": str(why)}
-    return out
+            out.setdefault("error", {"stage": "pii", "message": str(why)})
+    return out or None
 
 
-def may_be_flagged(text: Column, options: FilterOptions) -> Column:
-    """Whether the kernel has to look at a text: a raw hit, or something to undo."""
-    lists = options.resolved()
-    if not lists.block:
-        return F.lit(False)
-    if any("\\k<" in s or "(?<" in s.replace("(?<!", "").replace("(?<=", "") for s in lists.block):
-        return F.lit(True)  # named groups are renamed between dialects
-    gate = may_match(text, lists.block, options.aggressive) | text.rlike("[İıſK]")
-    if options.aggressive:
-        for pattern in kernel.JAVA_GATES:
-            gate = gate | text.rlike(pattern)
-    return gate
-
-
-def may_match(text: Column, stems: tuple[str, ...], aggressive: bool) -> Column:
-    """True wherever a stem is found, and seldom else."""
-    quick = patterns.java_gate(stems, aggressive)
-    if quick is None:
-        return text.rlike(patterns.java_source(stems, aggressive))
-    return F.lower(F.translate(text, "İſ", "ʘs")).rlike(quick)
-
-
-def may_hold_pii(text: Column) -> Column:
-    return text.rlike("[@:0-9]")
-
-
-def analysis(text: Column, options: FilterOptions | None = None, pii_options: PiiOptions | None = None) -> Column:
-    """``struct<segments, hits, pii, error>``, null for rows in which there is nothing to find."""
+def analysis(text: Column, options: FilterOptions | None = None, pii_options: PiiOptions | None = None, segments: bool = True, words: bool = True) -> Column:
+    """``struct<flagged, segments, hits, pii, error>``, null for rows in which nothing is found."""
     if options:
         options.resolved()
     if pii_options:
@@ -93,12 +72,28 @@ def analysis(text: Column, options: FilterOptions | None = None, pii_options: Pi
 
     @F.arrow_udf(ANALYSIS)
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else _analysed(t, options, pii_options) for t in column.to_pylist()], _A_ANALYSIS)
+        return pa.array([None if t is None else _analysed(t, options, pii_options, segments, words) for t in column.to_pylist()], _A_ANALYSIS)
 
     text = text.cast("string")
-    gates = ([may_be_flagged(text, options)] if options else []) + ([may_hold_pii(text)] if pii_options else [])
-    gate = gates[0] if len(gates) == 1 else gates[0] | gates[1]
-    return run.asNondeterministic()(F.when(gate, text))
+    return run.asNondeterministic()(text if options else F.when(may_hold_pii(text), text))
+
+
+def may_match(text: Column, stems: tuple[str, ...]) -> Column:
+    """True wherever a literal stem is found, and seldom else."""
+    finder = patterns.finder(stems, False)
+    if finder is None:
+        return text.rlike(patterns.java_source(stems, False))
+
+    @F.arrow_udf(T.BooleanType())
+    def run(column: pa.Array) -> pa.Array:
+        low = pc.utf8_lower(column).to_pylist()
+        return pa.array([None if t is None else next(finder.automaton.iter(t.replace("ſ", "s")), None) is not None or not t.isascii() and any(c in t for c in "\u0307ı") for t in low], pa.bool_())
+
+    return run(text)
+
+
+def may_hold_pii(text: Column) -> Column:
+    return text.rlike("[@:0-9]")
 
 
 def clean_segments(text: Column) -> Column:
@@ -107,28 +102,23 @@ def clean_segments(text: Column) -> Column:
 
 def profane_segments(text: Column, options: FilterOptions = FilterOptions()) -> Column:
     """Lossless pieces of the text, each flagged or not; null text is one clean empty piece."""
-    return F.coalesce(analysis(text, options)["segments"], clean_segments(text.cast("string")))
+    return F.coalesce(analysis(text, options, words=False)["segments"], clean_segments(text.cast("string")))
 
 
 def profane_hits(text: Column, options: FilterOptions = FilterOptions()) -> Column:
     """``array<struct<word, hit>>`` in lower case."""
-    return F.coalesce(analysis(text, options)["hits"], F.array().cast(HITS))
+    return F.coalesce(analysis(text, options, segments=False)["hits"], F.array().cast(HITS))
 
 
 def is_profane(text: Column, options: FilterOptions = FilterOptions()) -> Column:
-    if not options.aggressive and _is_plain(options):
-        return _literal_words(text, options) if options.cross_check else F.coalesce(text.rlike(patterns.java_source(options.resolved().block, False)), F.lit(False))
+    """False for null."""
+    options.resolved()
 
     @F.arrow_udf(T.BooleanType())
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else kernel.is_profane(t, options) for t in column.to_pylist()], pa.bool_())
-
-    text = text.cast("string")
-    return F.coalesce(run(F.when(may_be_flagged(text, options), text)), F.lit(False))
+        return pa.array([t is not None and kernel.is_profane(t, options) for t in column.to_pylist()], pa.bool_())
 
-
-def _is_plain(options: FilterOptions) -> bool:
-    return patterns.quick_regex(options.resolved().block, False) is not None
+    return run(text.cast("string"))
 
 
 def words_with_hits(text: Column, options: FilterOptions) -> Column:
@@ -141,11 +131,7 @@ def words_with_hits(text: Column, options: FilterOptions) -> Column:
     if lists.allow:
         allow = patterns.java_source(lists.allow, False, True)
         words = F.filter(words, lambda w: ~w.rlike(allow))
-    return F.when(may_match(text, lists.block, False), words).otherwise(F.array().cast("array<string>"))
-
-
-def _literal_words(text: Column, options: FilterOptions) -> Column:
-    return F.coalesce(F.size(words_with_hits(text, options)) > 0, F.lit(False))
+    return F.when(may_match(text, lists.block), words).otherwise(F.array().cast("array<string>"))
 
 
 def mask_profane(text: Column, options: FilterOptions = FilterOptions(), sign: str = "*") -> Column:
@@ -156,7 +142,7 @@ def mask_profane(text: Column, options: FilterOptions = FilterOptions(), sign: s
         return pa.array([None if t is None else kernel.mask(t, options, sign) for t in column.to_pylist()], pa.string())
 
     text = text.cast("string")
-    return F.coalesce(run(F.when(may_be_flagged(text, options), text)), text)
+    return run(text)
 
 
 def pii_findings(text: Column, options: PiiOptions = PiiOptions()) -> Column:

@@ -19,61 +19,101 @@ _RUN = regex.compile(_SPACED)
 _GAP = regex.compile("[" + patterns.JS_SPACE + r"._*+~|\-]")
 _HIDDEN = regex.compile(r"[\p{Cf}\p{M}]")
 _REPEAT = re.compile("([^\\n\\r\\u2028\\u2029])\\1\\1")
-#: Three single letters are enough to know that there is a run.
+_THRICE = re.compile(r"(?s)(.)\1\1+")
+#: Three single letters are enough to know that there is a run.  The first pattern is a cheap look for two of them.
+_TWO = re.compile(f"[{patterns.JS_SPACE}._*+~|\\-][^\\W\\d_][{patterns.JS_SPACE}._*+~|\\-]+[^\\W\\d_](?![^\\W\\d_])")
 _THREE = regex.compile(r"\p{L}(?<!\p{L}\p{L})" + (f"[{patterns.JS_SPACE}" + r"._*+~|\-]+\p{L}") * 2 + r"(?!\p{L})")
 _MARK = regex.compile(r"\p{M}")
+#: A character that is not ASCII or has marks, with them.
+_CLUSTER = regex.compile(r"[^\x00-\x7F]\p{M}*|[\x00-\x7F]\p{M}+")
 _WORD = regex.compile(patterns.WORD)
 _BLANK = regex.compile("[" + patterns.JS_SPACE + "]*")
 #: Stands in for the dotted capital I, which must not fold with i: a letter without case.
 _DOTTED, _SHIELD = "İ", "ʘ"
 
-#: What the same gate is for Spark, one simple pattern after the other; rows in which any is found go to the kernel.
-JAVA_GATES = (
-    r"[\p{Cf}\p{M}[^\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u012F\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0391-\u03A9\u03B1-\u03C9\u0401\u0410-\u044F\u0451\u1E9E\u2013\u2014\u2018-\u201E\u2022\u20AC]]",
-    r"(.)\1\1",
-    rf"\p{{L}}(?<!\p{{L}}\p{{L}})[{patterns.JS_SPACE}._*+~|\-]+\p{{L}}[{patterns.JS_SPACE}._*+~|\-]+\p{{L}}(?!\p{{L}})",
-)
-
-
 def needs_rewrite(text: str) -> bool:
     if not text.isascii() and (not unicodedata.is_normalized("NFKC", text) or _HIDDEN.search(text)):
         return True
-    return _REPEAT.search(text) is not None or _THREE.search(text) is not None
+    return _REPEAT.search(text) is not None or _TWO.search(text) is not None and _THREE.search(text) is not None
+
+
+class Rewriting:
+    """A text of which some places are replaced, with the place that each character came from."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+        self.parts: list[str] = []
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def upto(self, i: int) -> None:
+        """What lies before ``i`` stays."""
+        if i > self.at:
+            self.parts.append(self.text[self.at : i])
+            self.starts += range(self.at, i)
+            self.ends += range(self.at + 1, i + 1)
+            self.at = i
+
+    def put(self, new: str, start: int, end: int) -> None:
+        """``new`` for what lies from ``start`` to ``end``."""
+        self.upto(start)
+        self.parts.append(new)
+        self.starts += [start] * len(new)
+        self.ends += [end] * len(new)
+        self.at = end
 
 
 def normalize(text: str) -> tuple[str, list[int], list[int]] | None:
     """``(haystack, starts, ends)``: the text undisguised, and where in the original each of its
-    characters came from.  None if there is nothing to undo."""
+    characters came from.  None if there is nothing to undo.  Only the places that change are rewritten, the rest is copied."""
     if not needs_rewrite(text):
         return None
-    gaps = {i for m in _RUN.finditer(text) for i in range(*m.span()) if _GAP.match(text[i])}
-    folded: list[tuple[str, int, int]] = []
-    i, n = 0, len(text)
-    while i < n:
-        c = text[i]
-        kind = "" if c.isascii() else unicodedata.category(c)
-        if i in gaps or kind == "Cf" or kind[:1] == "M":
-            i += 1
-            continue
-        j = i + 1
-        while j < n and j not in gaps and not text[j].isascii() and unicodedata.category(text[j])[0] == "M":
-            j += 1
-        if j == i + 1 and not kind:
-            folded.append((c, i, j))
-        else:
-            kept = _MARK.sub("", unicodedata.normalize("NFKC", text[i:j])) or c
-            folded += [(k, i, j) for k in kept]
-        i = j
-    out: list[tuple[str, int, int]] = []
-    i = 0
-    while i < len(folded):
-        here = folded[i][0].lower()
-        j = i + 1
-        while j < len(folded) and folded[j][0].lower() == here:
-            j += 1
-        out += [(folded[i][0], folded[i][1], folded[j - 1][2])] if j - i >= 3 else folded[i:j]
-        i = j
-    return "".join(c for c, *_ in out), [a for _, a, _ in out], [b for *_, b in out]
+    changes: dict[int, tuple[int, str]] = {}
+    if not text.isascii():
+        for m in _CLUSTER.finditer(text):
+            own = m.group()
+            # Marks and format characters without a base go.
+            if len(own) == 1 and own in _STABLE:
+                continue
+            new = "".join(_folded(part) for part in _PIECES.findall(own))
+            if new != own:
+                changes[m.start()] = m.end(), new
+            elif len(own) == 1 and len(_STABLE) < 100_000:
+                _STABLE.add(own)
+    if _TWO.search(text):
+        for m in _RUN.finditer(text):
+            for gap in _GAP.finditer(text, *m.span()):
+                end, _ = changes.get(gap.start(), (gap.end(), ""))
+                changes[gap.start()] = end, ""
+    first = Rewriting(text)
+    for start in sorted(changes):
+        first.put(changes[start][1], start, changes[start][0])
+    first.upto(len(text))
+    folded = "".join(first.parts)
+    low = _lower(folded)
+    second = Rewriting(folded)
+    for m in _THRICE.finditer(low):
+        second.put(folded[m.start()], *m.span())
+    second.upto(len(folded))
+    return "".join(second.parts), [first.starts[i] for i in second.starts], [first.ends[i - 1] for i in second.ends]
+
+
+#: Single characters that stay as they are.
+_STABLE: set[str] = set()
+_PIECES = regex.compile(r"(?s)[\p{Cf}\p{M}]|.\p{M}*")
+
+
+def _folded(cluster: str) -> str:
+    """A character and its marks, composed, without what marks are left; nothing for a mark or format character alone."""
+    if len(cluster) == 1 and _HIDDEN.match(cluster):
+        return ""
+    return _MARK.sub("", unicodedata.normalize("NFKC", cluster)) or cluster[0]
+
+
+def _lower(text: str) -> str:
+    """Lower case character by character: as long as the text, and a sigma is one at the end of a word too."""
+    low = text.replace("Σ", "σ").lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
 def _is_word(c: str) -> bool:
@@ -105,7 +145,7 @@ def _hits(text: str, lists, aggressive: bool) -> list[tuple[int, int]]:
     haystack = mapped[0] if mapped else text
     seen = haystack.replace(_DOTTED, _SHIELD) if _DOTTED in haystack else haystack
     out: list[tuple[int, int]] = []
-    for a, b in _matches(block, patterns.quick_regex(lists.block, aggressive), seen):
+    for a, b in _matches(block, patterns.quick_regex(lists.block, aggressive), seen, patterns.finder(lists.block, aggressive)):
         if allow is not None and allow.match(enclosing_word(seen, a, b)):
             continue
         if mapped:
@@ -115,21 +155,28 @@ def _hits(text: str, lists, aggressive: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _matches(block, quick, text: str):
-    """Spans of ``block`` from left to right.  Where a match may begin is looked up with the
+def _matches(block, quick, text: str, finder: patterns.Finder | None = None):
+    """Spans of ``block`` from left to right.  Where a match may begin is looked up with the finder or the
     quicker pattern, if there is one."""
     low = text.lower().replace("ſ", "s") if quick else ""
     if quick is None or len(low) != len(text):
         yield from (m.span() for m in block.finditer(text) if m.end() > m.start())
         return
+    starts = finder.starts(low) if finder else None
     at = 0
-    while found := quick.search(low, at):
-        m = block.match(text, found.start())
-        if m and m.end() > m.start():
+    if starts is None:
+        while found := quick.search(low, at):
+            m = block.match(text, found.start())
+            if m and m.end() > m.start():
+                yield m.span()
+                at = m.end()
+            else:
+                at = found.start() + 1
+        return
+    for start in starts:
+        if start >= at and (m := block.match(text, start)) and m.end() > m.start():
             yield m.span()
             at = m.end()
-        else:
-            at = found.start() + 1
 
 
 def segments_of(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, bool]]:

@@ -87,32 +87,96 @@ def java_source(stems: tuple[str, ...], aggressive: bool, anchored: bool = False
     return rf"(?iu)\A(?:{source})\z" if anchored else f"(?iu)(?:{source})"
 
 
-@lru_cache(maxsize=256)
-def java_gate(stems: tuple[str, ...], aggressive: bool) -> str | None:
-    """Over lower-case text, a pattern that is found wherever a stem is: plain stems as a tree by
-    their letters, behind a look at the first.  None if stems aren't plain."""
+#: These may stand for any vowel; all other look-alikes stand for one letter, or for two that are looked up both.
+_ANY = "*#"
+
+
+def words_of(stem: str) -> list[str] | None:
+    """All words that a plain stem stands for: letters, groups of alternatives, and what may be left out.  None if it is not plain, or stands for very many."""
+
+    def alternatives(i: int) -> tuple[list[str], int]:
+        out: list[str] = []
+        now = [""]
+        while i < len(stem) and stem[i] != ")":
+            if stem[i] == "|":
+                out, now, i = out + now, [""], i + 1
+                continue
+            if stem.startswith("(?:", i):
+                part, i = alternatives(i + 3)
+                i += 1
+            elif stem[i].isalpha():
+                part, i = [stem[i]], i + 1
+            else:
+                raise ValueError
+            if i < len(stem) and stem[i] == "?":
+                part, i = [*part, ""], i + 1
+            now = [x + y for x in now for y in part]
+            if len(now) + len(out) > 256:
+                raise ValueError
+        return out + now, i
+
+    try:
+        words, end = alternatives(0)
+    except ValueError:
+        return None
+    return words if end == len(stem) and all(words) else None
+
+
+class Finder:
+    """Where a match of plain stems may begin: one pass of an Aho-Corasick automaton over lower-case text in which every look-alike is its letter."""
+
+    def __init__(self, words: set[str], aggressive: bool):
+        import ahocorasick
+
+        self.tables: list[dict[int, str]] = [{}, {}]
+        self.twice, self.any = "", None
+        if aggressive:
+            letters: dict[str, list[str]] = {}
+            for letter, others in LOOK_ALIKES.items():
+                for c in others.lower():
+                    if c not in _ANY:
+                        letters.setdefault(c, []).append(letter)
+            # c and k share look-alikes: they are one letter here.
+            one = {c: list(dict.fromkeys("k" if x == "c" else x for x in of)) for c, of in letters.items()} | {"c": ["k"], "k": ["k"]}
+            self.tables = [{ord(c): of[0] for c, of in one.items()}, {ord(c): of[-1] for c, of in one.items()}]
+            self.twice = "".join(c for c, of in one.items() if len(of) > 1)
+            self.any = re.compile(rf"\w[{_ANY}]|[{_ANY}]\w")
+        self.automaton = ahocorasick.Automaton()
+        for word in words:
+            for table in self.tables:
+                form = word.translate(table)
+                self.automaton.add_word(form, len(form))
+        self.automaton.make_automaton()
+
+    def starts(self, low: str) -> list[int] | None:
+        """In order; None if ``low`` holds a sign that may be any vowel."""
+        if self.any and any(c in low for c in _ANY) and self.any.search(low):
+            return None
+        if not self.tables[0]:
+            return sorted({end - size + 1 for end, size in self.automaton.iter(low)})
+        found = {end - size + 1 for end, size in self.automaton.iter(_translated(low, self.tables[0]))}
+        if any(c in low for c in self.twice):
+            found |= {end - size + 1 for end, size in self.automaton.iter(_translated(low, self.tables[1]))}
+        return sorted(found)
+
+
+def _translated(text: str, table: dict[int, str]) -> str:
+    if text.isascii():
+        return text.translate(table)
+    for code, letter in table.items():  # quicker than one pass, as most don't occur
+        if (c := chr(code)) in text:
+            text = text.replace(c, letter)
+    return text
+
+
+@lru_cache(maxsize=64)
+def finder(stems: tuple[str, ...], aggressive: bool) -> Finder | None:
+    """None if a stem isn't plain."""
     if quick_regex(stems, aggressive) is None:
         return None
     head, tail = whole_word("\0").split("\0")
-    plain = [s.removeprefix(head).removesuffix(tail) for s in stems]
-    letter = lambda c: expand(c) if aggressive else c
-    tree: dict = {}
-    for stem in plain:
-        if stem.isalpha():
-            node = tree
-            for c in stem:
-                node = node.setdefault(c, {})
-            node[""] = {}
-
-    def source(node: dict) -> str:
-        if "" in node:
-            return ""  # what is longer adds nothing
-        parts = [letter(c) + source(below) for c, below in node.items()]
-        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
-
-    others = [alternation((s,), aggressive) for s in plain if not s.isalpha()]
-    first = "".join(dict.fromkeys(x for s in plain for x in letter(s[0]).strip("[]")))
-    return f"(?=[{first}])(?:{'|'.join([*([source(tree)] if tree else []), *others])})"
+    words = [words_of(s.removeprefix(head).removesuffix(tail)) for s in stems]
+    return None if any(w is None for w in words) else Finder({x for w in words for x in w}, aggressive)
 
 
 class PatternError(ValueError):

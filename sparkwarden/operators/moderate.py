@@ -48,18 +48,17 @@ def indexed(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
 def moderate(df: DataFrame, options: ModerateOptions = ModerateOptions(), text_column: str = "text", id_column: str | None = None, index_column: str | None = None) -> DataFrame:
     """``index, id, text, flagged, matched_list, segments, pii, ai, error`` of every record.
 
-    Filter and personal data are one Arrow evaluation, entered only by rows in which a
-    regular expression finds cause.  Without a model the plan is narrow."""
+    Filter and personal data are one Arrow evaluation that gives back no more than is asked for.  Without a model the plan is narrow."""
     if isinstance(options.gate, str) and options.gate not in GATES:
         raise ValueError(f"unknown gate {options.gate!r}; known: {', '.join(GATES)}")
     text = df[text_column].cast("string")
     index = df[index_column].cast("long") if index_column else F.lit(None).cast("long") if df.isStreaming else F.monotonically_increasing_id()
     rows = df.select(index.alias("index"), (df[id_column].cast("string") if id_column else F.lit(None).cast("string")).alias("id"), text.alias("text"))
     if options.filter or options.pii:
-        rows = rows.withColumn("a", columns.analysis(F.col("text"), options.filter, options.pii))
+        rows = rows.withColumn("a", columns.analysis(F.col("text"), options.filter, options.pii, options.segments, False))
     else:
         rows = rows.withColumn("a", F.lit(None).cast(columns.ANALYSIS))
-    matched = F.coalesce(F.exists("a.segments", lambda s: s["is_profane"]), F.lit(False))
+    matched = F.coalesce("a.flagged", F.lit(False))
     pieces = F.coalesce("a.segments", columns.clean_segments(F.col("text"))) if options.filter else F.lit(None).cast(columns.SEGMENTS)
     found = F.coalesce("a.pii", F.array().cast(columns.FINDINGS))
     rows = rows.select("index", "id", "text", matched.alias("matched_list"), (pieces if options.segments else F.lit(None).cast(columns.SEGMENTS)).alias("segments"), found.alias("pii"), F.col("a.error").alias("error"))
@@ -105,13 +104,17 @@ def samples(results: DataFrame, most: int = 20) -> DataFrame:
 def flagged_words(df: DataFrame, options: FilterOptions = FilterOptions(), text_column: str = "text", index_column: str | None = None, min_count: int = 1, most_samples: int = 3) -> DataFrame:
     """``word, hits, count, samples``: in how many records each word is flagged."""
     index = df[index_column].cast("long") if index_column else F.monotonically_increasing_id()
-    rows = df.select(index.alias("index"), df[text_column].cast("string").alias("text")).withColumn("h", columns.profane_hits(F.col("text"), options))
-    each = rows.select("index", "text", F.explode("h").alias("h")).select("index", "text", F.col("h.word").alias("word"), F.col("h.hit").alias("hit"))
-    once = each.groupBy("word", "index").agg(F.collect_set("hit").alias("hit"), F.first("text").alias("text"))
+    rows = df.select(index.alias("index"), df[text_column].cast("string").alias("text"))
+    rows = rows.withColumn("h", columns.profane_hits(F.col("text"), options))
+    words = F.array_distinct(F.transform("h", lambda h: h["word"]))
+    # Counts shuffle words and hits alone.  For samples each partition keeps its first few of a word before anything is
+    # shuffled (a window group limit), so no more texts than those move.
+    each = rows.select(F.explode(F.transform(words, lambda w: F.struct(w.alias("word"), F.array_distinct(F.transform(F.filter("h", lambda h: h["word"] == w), lambda h: h["hit"])).alias("hits")))).alias("e")).select("e.*")
+    counted = each.groupBy("word").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("hits"), F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
     nth = F.row_number().over(Window.partitionBy("word").orderBy("index"))
-    counted = once.select("word", F.explode("hit").alias("hit"), "index").groupBy("word").agg(F.array_sort(F.collect_set("hit")).alias("hits"), F.count_distinct("index").alias("count"))
-    first = once.withColumn("n", nth).where(F.col("n") <= most_samples).groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]).alias("samples"))
-    return counted.where(F.col("count") >= min_count).join(first, "word").select("word", "hits", "count", "samples").orderBy(F.desc("count"), "word")
+    first = rows.select("index", "text", F.explode(words).alias("word")).withColumn("n", nth).where(F.col("n") <= most_samples)
+    texts = first.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]).alias("samples"))
+    return counted.join(texts, "word").select("word", "hits", "count", "samples").orderBy(F.desc("count"), "word")
 
 
 def overlapping_findings(results: DataFrame) -> DataFrame:

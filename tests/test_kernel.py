@@ -94,15 +94,59 @@ def test_segments_are_lossless_and_quick_search_is_exact(text):
     assert list(kernel._matches(block, patterns.quick_regex(lists.block, True), seen)) == list(kernel._matches(block, None, seen))
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.text(alphabet=st.sampled_from("ab. -\n￼éｅ́"), max_size=20)))
-def test_gates_cover_the_kernel(text):
+def slow_normalize(text):
+    """Character by character."""
+    import unicodedata
+
     import regex
 
-    first, *others = kernel.JAVA_GATES
-    gates = [regex.compile(first, regex.VERSION1), *map(regex.compile, others)]
-    if kernel.needs_rewrite(text):
-        assert any(g.search(text) for g in gates)
+    if not kernel.needs_rewrite(text):
+        return None
+    gaps = {i for m in kernel._RUN.finditer(text) for i in range(*m.span()) if kernel._GAP.match(text[i])}
+    folded, i = [], 0
+    mark = lambda c: unicodedata.category(c)[0] == "M"
+    while i < len(text):
+        if i in gaps or mark(text[i]) or unicodedata.category(text[i]) == "Cf":
+            i += 1
+            continue
+        j = i + 1
+        while j < len(text) and j not in gaps and mark(text[j]):
+            j += 1
+        kept = regex.sub(r"\p{M}", "", unicodedata.normalize("NFKC", text[i:j])) or text[i]
+        folded += [(c, i, j) for c in kept]
+        i = j
+    out, i = [], 0
+    while i < len(folded):
+        j = i + 1
+        while j < len(folded) and folded[j][0].lower() == folded[i][0].lower():
+            j += 1
+        out += [(folded[i][0], folded[i][1], folded[j - 1][2])] if j - i >= 3 else folded[i:j]
+        i = j
+    return "".join(c for c, *_ in out), [a for _, a, _ in out], [b for *_, b in out]
+
+
+ODD = st.text(alphabet=st.sampled_from("aAbß. -_\n￼éｅ́̈ﬁΣσςİıKk​½Ⅷ가ᄀ각😀"), max_size=30)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.one_of(st.text(max_size=60), ODD))
+def test_rewriting_places_is_rewriting_all(text):
+    assert kernel.normalize(text) == slow_normalize(text)
+    assert (kernel._THREE.search(text) is None) or kernel._TWO.search(text)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.sampled_from("asctiäkf4@$3*#^<(oh0uSſKе ё"), max_size=25))
+def test_the_finder_misses_no_match(text):
+    for options in (BOTH, EN, FilterOptions(languages=("en", "de"), aggressive=False)):
+        lists = options.resolved()
+        block, quick, finder = patterns.python_regex(lists.block, options.aggressive), patterns.quick_regex(lists.block, options.aggressive), patterns.finder(lists.block, options.aggressive)
+        assert finder is not None
+        assert list(kernel._matches(block, quick, text, finder)) == list(kernel._matches(block, None, text))
+
+
+def test_plain_stems_are_spelled_out():
+    assert patterns.words_of("a(?:b|cd?)e") == ["abe", "acde", "ace"] and patterns.words_of("x+") is None and patterns.words_of("(?:ab)?") is None
 
 
 def test_normalize_maps_back():
