@@ -10,12 +10,13 @@ The threshold is deterministic too: the score (of four decimals) below which at
 
 Plan.  Two scans of the text and no shuffle of it: each task of the first adds up one
 short vector of counts; the second looks up one broadcast vector of ``buckets`` doubles.
-Trusted ids are broadcast up to ``broadcast_ids``; beyond that Spark joins as it sees fit.
+Trusted ids are broadcast as a bitmap of at most ``broadcast_blocks`` blocks of 4 KiB (each of 32,768 ids in a row); beyond
+that they are joined, which shuffles the texts once.
 
 Result: ``doc_id, n_grams, score, keep`` for every row.
 
 Edge cases.  Null and empty texts, and texts of white space, have no n-grams: score 0,
-and they are not kept.  A doc_id is trusted if any of its labels is.  With no trusted
+and they are not kept.  Texts of any length count and score whole; a score of just the threshold is kept.  A doc_id is trusted if any of its labels is.  With no trusted
 documents all scores are 0 and every text with an n-gram stays.  Repeated rows count and
 score each for itself; a null doc_id is never trusted; an empty table gives no rows;
 extra columns are ignored.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from . import arrays
 
 BUCKETS = 1 << 14
-BROADCAST_IDS = 2_000_000
+BROADCAST_BLOCKS = 8192
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _WORD = np.zeros(256, bool)
@@ -75,17 +76,44 @@ def grams(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((grid.reshape(-1) >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)[there.reshape(-1)], np.maximum(2 * counts - 1, 0)
 
 
-def counted(df: DataFrame, id_column: str, text_column: str, trusted: DataFrame, buckets: int, broadcast_ids: int) -> DataFrame:
+class IdSet:
+    """Ids as bitmaps of 32,768 each."""
+
+    def __init__(self, blocks: np.ndarray, bits: np.ndarray):
+        order = np.argsort(blocks)
+        self.blocks, self.bits = blocks[order], bits[order]
+
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        if len(self.blocks) == 0:
+            return np.zeros(len(ids), bool)
+        block, place = ids >> 15, ids & 32767
+        at = np.minimum(np.searchsorted(self.blocks, block), len(self.blocks) - 1)
+        return (self.blocks[at] == block) & ((self.bits[at, place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def id_set(ids: DataFrame, most_blocks: int) -> IdSet | None:
+    """The ``k`` of ``ids``; None if they lie in more than ``most_blocks`` blocks."""
+    block = F.shiftright("k", 15).alias("block")
+    if ids.select(block).distinct().limit(most_blocks + 1).count() > most_blocks:
+        return None
+    found = ids.groupBy(block).agg(F.bitmap_construct_agg(F.col("k").bitwiseAND(F.lit(32767).cast("long"))).alias("bits")).toArrow()
+    return IdSet(found.column("block").to_numpy().astype(np.int64), np.frombuffer(b"".join(found.column("bits").to_pylist()), np.uint8).reshape(-1, 4096))
+
+
+def counted(df: DataFrame, id_column: str, text_column: str, trusted: DataFrame, buckets: int, broadcast_blocks: int) -> DataFrame:
     """``bucket, raw, target`` counts over all rows; ``trusted`` has ``k``."""
-    few = trusted.limit(broadcast_ids + 1).count() <= broadcast_ids
-    ids = trusted.withColumn("trusted", F.lit(True))
     rows = df.select(df[id_column].cast("long").alias("k"), df[text_column].cast("string").alias("t"))
-    marked = rows.join(F.broadcast(ids) if few else ids, "k", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "t")
+    known = id_set(trusted, broadcast_blocks)
+    held = df.sparkSession.sparkContext.broadcast(known)
+    if known is None:
+        rows = rows.join(trusted.withColumn("trusted", F.lit(True)), "k", "left").select(F.coalesce("trusted", F.lit(False)).cast("long").alias("k"), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        known, raw, target = held.value, np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in arrays.eased(batches):
-            good, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(bool), arrays.text_column(batch.column(1))
+            names, texts = batch.column(0), arrays.text_column(batch.column(1))
+            there, ids = names.is_valid().to_numpy(zero_copy_only=False), names.fill_null(0).to_numpy()
+            good = there & (known.holds(ids) if known else ids == 1)
             for lo, hi in arrays.slices(texts):
                 at, per = grams(texts.slice(lo, hi - lo), buckets)
                 raw += np.bincount(at, minlength=buckets)
@@ -93,7 +121,7 @@ def counted(df: DataFrame, id_column: str, text_column: str, trusted: DataFrame,
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
-    parts = marked.mapInArrow(run, "bucket int, raw long, target long")
+    parts = rows.mapInArrow(run, "bucket int, raw long, target long")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -128,13 +156,13 @@ def ratio_scores(df: DataFrame, id_column: str, text_column: str, ratios: np.nda
     return rows.mapInArrow(run, "doc_id long, n_grams long, score double")
 
 
-def thresholded(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", buckets: int = BUCKETS, smoothing: float = 1.0, trusted_loss: float = 0.005, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def thresholded(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", buckets: int = BUCKETS, smoothing: float = 1.0, trusted_loss: float = 0.005, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
     """``doc_id, n_grams, score, keep``; trusted are the labels of quality 1 that aren't toxic."""
     from .storage import stored
 
     good = (labels["quality"] == 1) & (F.coalesce(labels["toxic"], F.lit(0)) == 0)
     trusted = labels.where(good & labels[id_column].isNotNull()).select(labels[id_column].cast("long").alias("k")).distinct()
-    ratios = log_ratios(counted(df, id_column, text_column, trusted, buckets, broadcast_ids), buckets, smoothing)
+    ratios = log_ratios(counted(df, id_column, text_column, trusted, buckets, broadcast_blocks), buckets, smoothing)
     scores = stored(ratio_scores(df, id_column, text_column, ratios), "ratios")
     # A count for each score of four decimals: as many rows as scores differ.
     tally = scores.where("n_grams > 0").join(trusted, scores["doc_id"] == trusted["k"], "left_semi").groupBy("score").count()

@@ -14,6 +14,9 @@ exactly one window.
 Result: ``window_id, n_tokens, doc_ids, starts, lengths``; piece ``i`` of a window
 is tokens ``starts[i]`` to ``starts[i] + lengths[i]`` of ``doc_ids[i]``.
 
+Which documents share a window depends on how the table is partitioned, as each partition is packed online; ``window_id`` is
+unique and no more.  What never depends on it: every token once, no window over its capacity.
+
 Edge cases.  Null and empty texts have no tokens and are in no window; repeated
 rows are packed each for itself; of equally full windows the one opened first is
 taken; an empty table gives no windows; null doc_ids stay null; extra columns are

@@ -4,7 +4,8 @@
 2. On a bounded sample of labelled rows (``sample_rows``, those with the least hash of
    their id) shallow trees are boosted; every path from a root to a node becomes a
    conjunctive rule.
-3. A logistic model with an L1 penalty gives each rule a weight, most of them 0.
+3. A logistic model with an L1 penalty gives each rule a weight, most of them 0.  If more than ``most_rules`` are left the
+   penalty is raised and the rules left are fitted anew: what is compiled must stay one method of generated code.
 4. The rules that are left are compiled into one Spark column expression.
 
 Training is bounded by ``sample_rows`` and happens on the driver; scoring is narrow.
@@ -12,7 +13,8 @@ Training is bounded by ``sample_rows`` and happens on the driver; scoring is nar
 Result: ``doc_id, score, keep``; ``score`` is the probability of good quality, ``keep``
 is ``score >= threshold``.
 
-Edge cases.  Null and empty texts, and texts without a word, score 0 and are rejected.
+Edge cases.  Null and empty texts, and texts without a word, score 0 and are rejected.  Texts of any length are counted
+whole.  Equal texts score alike; a score of just the threshold is kept.
 Labels that are null count as missing; of several labels of one doc_id the least
 counts.  With no labelled rows, or labels of one kind only, every text with a word
 scores 1 and stays.  Repeated rows and null doc_ids are scored each for itself; an empty

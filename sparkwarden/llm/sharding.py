@@ -15,7 +15,7 @@ A group is all rows of one key; its size is the sum of theirs.
 
 Edge cases.  A null key is a group of its own, which comes first; null, empty and
 negative sizes count as 0; rows with the same key are never parted; an empty table
-gives no rows; fewer groups than shards leave shards unused; extra columns are
+gives no rows; fewer groups than shards leave shards unused; fewer than one shard is a ``ValueError``; extra columns are
 ignored.
 """
 
@@ -102,6 +102,8 @@ def shard(df: DataFrame, key: str = "doc_id", size: Column | None = None, shards
 
     ``size``: a row's size, the bytes of its ``text`` by default.  One shuffle, of keys
     and sizes, puts groups in order; texts are never moved."""
+    if shards < 1:
+        raise ValueError("there must be one shard at least")
     spark = df.sparkSession
     size = F.octet_length(df["text"]) if size is None else size
     rows = df.select(df[key].alias("k"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("n"))

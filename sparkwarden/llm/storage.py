@@ -1,4 +1,9 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share.
+
+All tables of an application lie in one folder of its own below ``spark.checkpoint.dir``.  What
+is known to be read no more goes at once (:func:`dropped`); the rest goes when the driver ends,
+or by :func:`cleared`.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster names it; only where it is unset, one of our own."""
+    """This application's folder below ``spark.checkpoint.dir``, as the cluster names it.
+
+    Where it is unset a folder of our own is made and set, but only if all executors run on this machine; on
+    a cluster each would write to a disk of its own, so that raises ``RuntimeError``."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="sparkwarden-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    path = f"{path.rstrip('/')}/sparkwarden-{spark.sparkContext.applicationId}"
+    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])
+    return path
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path``, and ``path`` as it names it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -29,11 +48,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table that :func:`stored` wrote, when nothing reads them any more."""
     spark = df.sparkSession
-    jvm = spark._jvm
+    own = folder(spark).split(":")[-1].lstrip("/")
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if str(path.toString()).startswith(folder(spark)) or folder(spark).split(":")[-1] in str(path.toString()):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = file.rpartition("/")[0]
+        if own in path:
+            files, where = _files(spark, path)
+            files.delete(where, True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application: when no result is to be read any more."""
+    files, where = _files(spark, folder(spark))
+    files.delete(where, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -33,7 +33,7 @@ SCHEMA = "part int, blob long, doc_ids array<long>, doc_starts array<long>, n_to
 
 
 def width(vocabulary_size: int) -> int:
-    """Bits for ids below ``vocabulary_size``."""
+    """Bits for ids below ``vocabulary_size``, one more than the greatest id."""
     return max(1, (vocabulary_size - 1).bit_length())
 
 
@@ -100,7 +100,7 @@ def packed_tokens(df: DataFrame, id_column: str = "doc_id", text_column: str = "
     Narrow: each partition makes its own blobs, and only one blob's ids are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bits = bpe.library_encoder(vocabulary), width(len(bpe.read_ranks(vocabulary)))
+        encoder, bits = bpe.library_encoder(vocabulary), width(max(bpe.read_ranks(vocabulary).values(), default=0) + 1)
         part, blob = TaskContext.get().partitionId(), 0
         docs: list[pa.Array] = []
         parts: list[np.ndarray] = []
