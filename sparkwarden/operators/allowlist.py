@@ -92,10 +92,19 @@ def tune(df: DataFrame, options: FilterOptions = FilterOptions(), verdicts: Mapp
         else:
             report.rejected.append({"entry": entry, "words": words} | found)
     if report.accepted and report.rerun:
-        report.after = measure(df, replace(options, allow_list=(*options.allow_list, *(a["entry"] for a in report.accepted))), text_column)
+        report.after = measure(df, _wider(options, [a["entry"] for a in report.accepted]), text_column)
     return report
 
 
+def _wider(options: FilterOptions, entries: list[str]) -> FilterOptions:
+    return replace(options, allow_list=(*options.allow_list, *entries))
+
+
+def cleared_words(report: Report) -> list[dict]:
+    """``entry, words``: what each accepted entry clears."""
+    return [{"entry": a["entry"], "words": sorted(a["words"])} for a in report.accepted]
+
+
 def snippet(report: Report, code: str = "en") -> str:
     """The accepted entries as code."""
     lines = [f"    {a['entry']!r},  # {', '.join(a['words'])}" for a in report.accepted]

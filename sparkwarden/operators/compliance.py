@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns
+from .ai import AiOptions, complete_json
 
 ACTIONS = ("CONTENT_REMOVED", "CONTENT_DEMOTION", "ACCOUNT_SUSPENSION", "ACCOUNT_TERMINATION", "FEATURE_RESTRICTION")
 NO_QUOTE = "[content]"
@@ -43,11 +47,12 @@ def _phrase(language: Column, key: str) -> Column:
     return _in(language, {lang: texts[key] for lang, texts in _PHRASES.items()})
 
 
-def justify(results: DataFrame, action: str = "CONTENT_REMOVED", policies: Sequence[str | tuple[str, str]] = ("Community Guidelines",), language: str | None = None, duration: str = "permanent", appeal_url: str | None = None, notes: str | None = None, timestamp: Column | None = None) -> DataFrame:
+def justify(results: DataFrame, action: str = "CONTENT_REMOVED", policies: Sequence[str | tuple[str, str]] = ("Community Guidelines",), language: str | None = None, duration: str = "permanent", appeal_url: str | None = None, notes: str | None = None, timestamp: Column | None = None, ai: AiOptions | None = None) -> DataFrame:
     """``results`` (with ``segments``) and a ``justification`` struct.
 
     The wording is looked up in a table of ten rows by a broadcast join, English where a
-    language has none."""
+    language has none.  With ``ai`` a model is given the facts and may word ``reason`` and ``assessment``; what it leaves
+    blank, refuses or fails at stays as it was."""
     if action not in ACTIONS:
         raise ValueError(f"unknown action {action!r}; known: {', '.join(ACTIONS)}")
     rows = results.withColumn("__lang", F.lit(language) if language else columns.detect_language(F.col("text"))).withColumn("__action", F.lit(action))
@@ -73,11 +78,46 @@ def justify(results: DataFrame, action: str = "CONTENT_REMOVED", policies: Seque
     quote = F.coalesce(F.nullif("ai.quote", F.lit("")), F.nullif(listed, F.lit("")), F.lit(NO_QUOTE))
     bases = F.array(*(F.struct(F.lit(p if isinstance(p, str) else p[0]).alias("name"), F.lit(None if isinstance(p, str) else p[1]).cast("string").alias("section")) for p in policies))
     facts = F.struct(quote.alias("quote"), categories.alias("categories"), severity.alias("severity"), confidence.alias("confidence"), (ok | F.col("matched_list")).alias("automated_detection"), F.lit(False).alias("human_review"))
+    reason, assessment = F.coalesce("__own", "__fallback"), F.concat_ws(" ", F.array_compact(parts))
+    if ai is not None and ai.enabled:
+        told = F.to_json(F.struct(F.col("__action").alias("action"), lang.alias("language"), severity.alias("severity"), categories.alias("categories"), confidence.alias("confidence"), quote.alias("quote"), bases.alias("policies"), F.lit(duration).alias("duration"), ok.alias("judged")))
+        rows = rows.withColumn("__worded", _worded(ai)(told))
+        reason, assessment = (F.coalesce(F.when(F.trim(f"__worded.{k}") != "", F.col(f"__worded.{k}")), own) for k, own in (("reason", reason), ("assessment", assessment)))
     made = F.struct(
-        F.col("__action").alias("action"), F.coalesce("__own", "__fallback").alias("reason"), F.concat_ws(" ", F.array_compact(parts)).alias("assessment"), bases.alias("policy_bases"), facts.alias("facts"),
+        F.col("__action").alias("action"), reason.alias("reason"), assessment.alias("assessment"), bases.alias("policy_bases"), facts.alias("facts"),
         (timestamp if timestamp is not None else F.current_timestamp()).alias("timestamp"), F.lit(duration).alias("duration"), lang.alias("language"), F.lit(appeal_url).cast("string").alias("appeal_url"), F.lit(notes).cast("string").alias("additional_notes"),
     )
-    return rows.withColumn("justification", made).drop("__lang", "__action", "__own", "__fallback")
+    return rows.withColumn("justification", made).drop("__lang", "__action", "__own", "__fallback", "__worded")
+
+
+def _worded(options: AiOptions):
+    """What a model makes of the facts, given as JSON: ``struct<reason, assessment>``."""
+    own = options.resolved()
+    options.check_key()
+
+    @F.arrow_udf("reason string, assessment string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([wording(json.loads(told), own) for told in column.to_pylist()], pa.struct([("reason", pa.string()), ("assessment", pa.string())]))
+
+    return run.asNondeterministic()
+
+
+def wording(facts: dict, options: AiOptions) -> dict[str, str | None]:
+    """``reason`` and ``assessment`` as a model words them; None where it doesn't."""
+    system = prompt(facts["action"], facts["severity"], facts["categories"], facts["language"])
+    text = "\n".join(
+        [
+            f"Action: {facts['action']}", f"Categories: {', '.join(facts['categories']) or '(none)'}", f"Severity: {facts['severity']}", f"Confidence: {round(facts['confidence'] * 100)}%",
+            f"Rules: {', '.join(' '.join(filter(None, (p['name'], p.get('section')))) for p in facts['policies'])}", f"Passage: {json.dumps(facts['quote'], ensure_ascii=False)}", f"Duration: {facts['duration']}",
+            "Found by: a model that read the sentence" if facts["judged"] else "Found by: a word list alone; nobody judged the sentence",
+        ]
+    )
+    answer = complete_json("\n".join(filter(None, (system, options.extra))), text, wording_schema(), replace(options, on_error="return"))
+    try:
+        said = json.loads(answer["json"]) if answer else {}
+    except ValueError:
+        said = {}
+    return {k: said[k] if isinstance(said, dict) and isinstance(said.get(k), str) else None for k in ("reason", "assessment")}
 
 
 def as_json(justification: str | Column = "justification") -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,17 +18,24 @@ GATES = ("matched", "unmatched", "all")
 
 @dataclass(frozen=True)
 class ModerateOptions:
-    """``filter`` or ``pii`` None leaves that stage out; ``gate`` says which records a model is asked about."""
+    """``filter`` or ``pii`` None leaves that stage out; ``gate`` says which records a model is asked about: that of ``ai``, or
+    just the callable ``complete``.  At most ``max_calls`` records are asked about, each up to ``retries`` times more."""
 
     filter: FilterOptions | None = FilterOptions()
     pii: PiiOptions | None = None
     segments: bool = False
     complete: Callable | None = None
+    ai: models.AiOptions | None = None
     gate: str | Callable[[DataFrame], Column] = "matched"
     max_calls: int | None = None
     retries: int = 2
     backoff_ms: int = 500
-    concurrency: int = 4
+    concurrency: int = 8
+
+    def model_options(self) -> models.AiOptions | None:
+        """None if no model is to be asked."""
+        own = self.ai or (models.AiOptions() if self.complete else None)
+        return replace(own, complete=self.complete or own.complete) if own and own.enabled else None
 
 
 def indexed(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
@@ -62,7 +69,7 @@ def moderate(df: DataFrame, options: ModerateOptions = ModerateOptions(), text_c
     pieces = F.coalesce("a.segments", columns.clean_segments(F.col("text"))) if options.filter else F.lit(None).cast(columns.SEGMENTS)
     found = F.coalesce("a.pii", F.array().cast(columns.FINDINGS))
     rows = rows.select("index", "id", "text", matched.alias("matched_list"), (pieces if options.segments else F.lit(None).cast(columns.SEGMENTS)).alias("segments"), found.alias("pii"), F.col("a.error").alias("error"))
-    if options.complete:
+    if options.model_options():
         rows = models.ask(rows, _wanted(rows, options), options)
     else:
         rows = rows.withColumn("ai", F.lit(None).cast(models.VERDICT))
@@ -114,7 +121,7 @@ def flagged_words(df: DataFrame, options: FilterOptions = FilterOptions(), text_
     nth = F.row_number().over(Window.partitionBy("word").orderBy("index"))
     first = rows.select("index", "text", F.explode(words).alias("word")).withColumn("n", nth).where(F.col("n") <= most_samples)
     texts = first.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]).alias("samples"))
-    return counted.join(texts, "word").select("word", "hits", "count", "samples").orderBy(F.desc("count"), "word")
+    return counted.join(texts, "word").select("word", "hits", "count", "samples").orderBy(F.desc("count"), F.collate("word", "UNICODE"), "word")
 
 
 def overlapping_findings(results: DataFrame) -> DataFrame:

@@ -22,17 +22,37 @@ def flagged_output(results: DataFrame, every: bool = False) -> DataFrame:
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, version: str) -> None:
     """A Parquet table by key: of rows with one key the latest version stays.
 
-    Written beside the old table and only then put in its place."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = spark.read.parquet(path).unionByName(rows, allowMissingColumns=True) if files.exists(at) else rows
+    Written beside the old table, which is moved aside, not deleted, until the new one is in its place."""
+    where = lambda suffix="": spark._jvm.org.apache.hadoop.fs.Path(path + suffix)
+    files = where().getFileSystem(spark._jsc.hadoopConfiguration())
+    _repaired(files, where)
+    old = spark.read.parquet(path).unionByName(rows, allowMissingColumns=True) if files.exists(where()) else rows
     latest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))
-    beside = jvm.org.apache.hadoop.fs.Path(path + ".next")
     old.withColumn("__n", latest).where("__n = 1").drop("__n").write.mode("overwrite").parquet(path + ".next")
-    files.delete(at, True)
-    files.rename(beside, at)
+    if files.exists(where()) and not files.rename(where(), where(".old")):
+        raise OSError(f"{path} can't be moved aside")
+    if not files.rename(where(".next"), where()):
+        files.rename(where(".old"), where())
+        raise OSError(f"the new table can't be put in the place of {path}")
+    files.delete(where(".old"), True)
+
+
+def _repaired(files, where) -> None:
+    """A change that was cut off between its two renames is undone."""
+    if files.exists(where(".old")):
+        if files.exists(where()):
+            files.delete(where(".old"), True)
+        else:
+            files.rename(where(".old"), where())
 
 
 def get(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col(key) == value)
+
+
+def listed(spark: SparkSession, path: str, where: str | None = None, order_by: str | None = None, most: int | None = None) -> DataFrame:
+    """The rows of the table, or those for which the SQL condition ``where`` holds."""
+    rows = spark.read.parquet(path)
+    rows = rows.where(where) if where else rows
+    rows = rows.orderBy(F.desc(order_by)) if order_by else rows
+    return rows.limit(most) if most is not None else rows

@@ -12,7 +12,7 @@ from sparkwarden import queries, streaming
 from sparkwarden.__main__ import main
 from sparkwarden.functions import checksums, columns, kernel, pii
 from sparkwarden.functions.registry import FilterOptions
-from sparkwarden.operators import adversarial, ai, allowlist, compliance
+from sparkwarden.operators import adversarial, ai, allowlist, compliance, providers
 from sparkwarden.operators import moderate as M
 from sparkwarden.operators.report import duration, text_report
 from sparkwarden.sources import readers, sinks
@@ -96,9 +96,9 @@ def test_model_gate_and_budget(df):
     assert {i for i, r in own.items() if r.ai} == {6}
     with pytest.raises(ValueError):
         ask(gate="some")
-    assert ai.analyze("boom sk-123456789", complete, retries=1, backoff_ms=1)["status"] == "error" and ai.redact("key sk-123456789", "sk-123456789") == "key [redacted]"
-    assert ai.analyze("x", None)["status"] == "disabled" and ai.analyze(" ", complete)["status"] == "skipped"
-    assert "additionalProperties" not in json.dumps(ai.without_additional(ai.schema()))
+    assert ai.analyze("boom sk-123456789", ai.AiOptions(complete), retries=1, backoff_ms=1)["status"] == "error" and ai.redact("key sk-123456789", "sk-123456789") == "key [redacted]"
+    assert ai.analyze("x", ai.AiOptions(enabled=False))["status"] == "disabled" and ai.analyze(" ", ai.AiOptions(complete))["status"] == "skipped"
+    assert "additionalProperties" not in json.dumps(providers.without_additional(ai.schema()))
 
 
 def test_stored_verdicts_are_parsed_alike(spark):
