@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from sparkwarden import queries, streaming
+from sparkwarden import queries, queries_more, streaming
 from sparkwarden.__main__ import main
 from sparkwarden.functions import checksums, columns, kernel, pii
 from sparkwarden.functions.registry import FilterOptions
@@ -19,6 +19,7 @@ from sparkwarden.sources import readers, sinks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SF = "/root/testdata/sf0.001"
+EVERY, SQL = queries.QUERIES | queries_more.QUERIES, queries.ORACLE_SQL | queries_more.ORACLE_SQL
 BOTH = FilterOptions(languages=("en", "de"))
 TEXTS = ["what an asshole", "all is well", None, "", "f u c k", "call +1 202 5550123", "Ein Dokument, du Dr3cks4u", "😀 sh1t a@b.example", "sc​hön", "İ shit"]
 
@@ -227,8 +228,8 @@ def test_entry(spark):
 
 
 def sql_rows(spark, con, name):
-    ours = queries.QUERIES[name](spark, SF)
-    theirs = con.sql(queries.ORACLE_SQL[name])
+    ours = EVERY[name](spark, SF)
+    theirs = con.sql(SQL[name])
     names = sorted(ours.columns)
     assert names == sorted(theirs.columns)
     at = [theirs.columns.index(c) for c in names]
@@ -246,7 +247,7 @@ def con():
     return made
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_against_sql(spark, con, name):
     ours, theirs = sql_rows(spark, con, name)
     assert ours == theirs
