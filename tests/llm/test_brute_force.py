@@ -221,6 +221,61 @@ def test_op4_finds_what_a_look_at_every_position_finds(spark, rows):
         assert got[doc] == (len(spans), [(k, a, b) for a, b, k in spans], out + (text or "")[at:])
 
 
+def plain_hash(word: bytes) -> int:
+    from sparkwarden.llm import arrays
+
+    total, power = len(word), 1
+    for b in word:
+        total += int(arrays.BYTE_VALUES[b]) * power
+        power = power * int(arrays.BASE) % 2**64
+    return plain_mix(total % 2**64) | 1 << 63
+
+
+def plain_mix(h: int) -> int:
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53), (32, 1)):
+        h = (h ^ h >> shift) * factor % 2**64
+    return h
+
+
+def test_op5_counts_hashes_and_thresholds_as_plain_numbers_do(spark, rows):
+    from sparkwarden.llm import arrays, ngram_ratio
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    trusted = {r.doc_id for r in labels if r.quality == 1 and not r.toxic}
+    buckets, known = ngram_ratio.BUCKETS, {}
+    raw, target, own = Counter(), Counter(), {}
+    for doc, text, _ in rows:
+        hashes = []
+        for token in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\t-\r ]+", (text or "").encode()):
+            if token not in known:
+                known[token] = plain_hash(token)
+            hashes.append(known[token])
+        pairs = [plain_mix((a * int(arrays.BASE) + b) % 2**64) for a, b in zip(hashes, hashes[1:])]
+        own[doc] = [(h >> 7) % buckets for h in hashes + pairs]
+        raw.update(own[doc])
+        if doc in trusted:
+            target.update(own[doc])
+    all_raw, all_target = sum(raw.values()) + buckets, sum(target.values()) + buckets
+    ratio = lambda b: math.log((target[b] + 1) / all_target) - math.log((raw[b] + 1) / all_raw)
+    scores = {d: sum(map(ratio, at)) / len(at) if at else 0.0 for d, at in own.items()}
+    good = sorted(round(scores[d], 4) for d in trusted & set(own) if own[d])
+    least = good[int(0.005 * len(good))]
+    got = {r.doc_id: r for r in queries.op5_ngram_ratio(spark, SF).collect()}
+    assert set(got) == set(own)
+    for d, r in got.items():
+        assert r.n_grams == len(own[d]) and abs(r.score - scores[d]) < 1.01e-4
+        assert r.keep == (r.n_grams > 0 and r.score >= least - 1e-9) or abs(scores[d] - least) < 2e-4
+
+
+def test_op7_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = sorted(con.sql(queries.ORACLE_SQL["op7_near_duplicates"]).fetchall())
+    assert sorted((r.doc_id, r.group_id, r.keep) for r in queries.op7_near_duplicates(spark, SF).collect()) == want
+
+
 def shingles_of(text: str) -> frozenset:
     words = words_of(text, True)
     return frozenset(tuple(words[i : i + 3]) for i in range(len(words) - 2)) if len(words) >= 3 else frozenset([tuple(words)] if words else [])
