@@ -54,9 +54,9 @@ def skip_counts(rows: DataFrame) -> DataFrame:
     return rows.where("skipped is not null").groupBy(F.col("skipped").alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
 
 
-def csv_rows(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, strict: bool = False) -> DataFrame:
+def csv_rows(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, strict: bool = True) -> DataFrame:
     """All columns as strings.  ``strict`` tokenizes as the state machine that takes text behind a
-    closing quote for part of the field; Spark's reader keeps the quotes then."""
+    closing quote for part of the field, over splits of any file; Spark's own reader keeps the quotes then, and can't split a file."""
     if strict:
         return _strict_csv(spark, path, delimiter, header)
     reader = spark.read.option("header", header).option("sep", delimiter).option("multiLine", True).option("quote", '"').option("escape", '"').option("inferSchema", False).option("nullValue", "\0").option("emptyValue", "")
@@ -95,21 +95,133 @@ def split_csv(text: str, delimiter: str = ",") -> Iterator[list[str]]:
         yield [*row, "".join(field)]
 
 
+def quoted_after(line: str, quoted: bool, delimiter: str = ",") -> bool:
+    """Whether the end of a line lies within quotes, if its beginning does or doesn't."""
+    if '"' not in line:
+        return quoted
+    empty, i = not quoted, 0
+    while i < len(line):
+        c = line[i]
+        if quoted:
+            if c != '"':
+                empty = False
+            elif line[i + 1 : i + 2] == '"':
+                empty = False
+                i += 1
+            else:
+                quoted = False
+        elif c == '"' and empty:
+            quoted = True
+        elif c == delimiter:
+            empty = True
+        elif c != "\r":
+            empty = False
+        i += 1
+    return quoted
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[str]]]:
+    """Runs of lines of one split of a file, in order; a split may come in several runs."""
+    for batch in batches:
+        lines, files, starts = (c.to_pylist() for c in batch.columns)
+        lo = 0
+        for i in range(1, len(lines) + 1):
+            if i == len(lines) or (files[i], starts[i]) != (files[lo], starts[lo]):
+                yield (files[lo], starts[lo]), lines[lo:i]
+                lo = i
+
+
 def _strict_csv(spark: SparkSession, path: str, delimiter: str, header: bool) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = list(split_csv(text, delimiter))
-                for lo in range(0, len(found), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(range(lo, min(lo + 4096, len(found))), pa.int64()), pa.array(found[lo : lo + 4096], pa.list_(pa.string()))], names=["n", "f"])
-
-    rows = spark.read.text(path, wholetext=True).mapInArrow(run, "n long, f array<string>")
-    first = rows.where("n = 0").select("f").first()
-    names = list(first["f"]) if first and header else [f"_c{i}" for i in range(len(first["f"]) if first else 0)]
-    body = rows.where("n > 0") if header else rows
+    """Each split is first walked for both cases, that it begins within quotes or not; which of them holds follows from the
+    splits before it, one short row each on the driver.  Then rows are made split by split, and
+    those that go over an end of a split from their pieces."""
+    source = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
+        for split, some in _by_split(batches):
+            own = state.setdefault(split, [False, True, False])  # the end's state for both beginnings, and whether a row that came from before ends here
+            for line in some:
+                own[0], own[1] = quoted_after(line, own[0], delimiter), quoted_after(line, own[1], delimiter)
+                own[2] |= not own[1]
+        rows = [(*split, *own) for split, own in state.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()))], names=["f", "b", "plain", "quoted", "closed"])
+
+    begins: dict[tuple[str, int], tuple[bool, int]] = {}  # within quotes, and in which split the row began that is open
+    file, within, origin, ragged = None, False, 0, False
+    for row in sorted(source.mapInArrow(walk, "f string, b long, plain boolean, quoted boolean, closed boolean").collect()):
+        if row["f"] != file:
+            file, within, origin = row["f"], False, row["b"]
+        begins[row["f"], row["b"]] = within, origin
+        if not within or row["closed"]:
+            origin = row["b"]
+        within = row["quoted"] if within else row["plain"]
+        ragged |= within
+    held = spark.sparkContext.broadcast(begins)
+    most = 1 << 16  # lines that are cut into rows at once
+
+    def fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of fields; pieces of rows that go over an end have ``f, origin, b`` and the text instead."""
+        state: dict = {}
+
+        def piece(split, lines, at, first):
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.list_(pa.string())), pa.array([split[0]]), pa.array([at], pa.int64()), pa.array([split[1]], pa.int64()), pa.array([0 if first else 1], pa.int32()), pa.array(["\n".join(lines)])], names=_PIECE)
+
+        def whole(lines):
+            found = list(split_csv("\n".join(lines) + "\n", delimiter))
+            none = [None] * len(found)
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), *(pa.array(none, t) for t in (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=_PIECE)
+
+        for split, some in _by_split(batches):
+            within, origin = held.value[split]
+            own = state.setdefault(split, {"quoted": within, "head": [] if within else None, "rows": [], "open": [], "header": header and split[1] == 0})
+            for line in some:
+                own["quoted"] = quoted_after(line, own["quoted"], delimiter)
+                if own["head"] is not None:
+                    own["head"].append(line)
+                    if not own["quoted"]:
+                        yield piece(split, own["head"], origin, True)
+                        own["head"] = None
+                    continue
+                own["open"].append(line)
+                if not own["quoted"]:
+                    own["rows"] += [] if own["header"] else own["open"]  # each file begins with its header
+                    own["open"], own["header"] = [], False
+                    if len(own["rows"]) >= most:
+                        yield whole(own["rows"])
+                        own["rows"] = []
+        for split, own in state.items():
+            if own["rows"]:
+                yield whole(own["rows"])
+            if own["head"]:
+                yield piece(split, own["head"], held.value[split][1], True)
+            if own["open"]:
+                yield piece(split, own["open"], split[1], False)
+
+    def joined(key: tuple, table: pa.Table) -> pa.Table:
+        parts = sorted(zip(*(table.column(c).to_pylist() for c in ("b", "place", "t")), strict=True))
+        return pa.table({"f": pa.array(list(split_csv("\n".join(t for *_, t in parts), delimiter)), pa.list_(pa.string()))})
+
+    rows = source.mapInArrow(fields, "fields array<string>, f string, origin long, b long, place int, t string")
+    over = rows.where("fields is null").select("f", "origin", "b", "place", "t").groupBy("f", "origin").applyInArrow(joined, "f array<string>")
+    body = rows.where("fields is not null").select(F.col("fields").alias("f"))
+    body = body.unionByName(over) if ragged else body
+    top = source.where("b = 0").limit(4096).mapInArrow(lambda batches: _first_row(batches, delimiter), "f array<string>").first()
+    if top is None:
+        return spark.createDataFrame([], "`_c0` string")
+    names = list(top["f"]) if header else [f"_c{i}" for i in range(len(top["f"]))]
     return body.select(*(F.coalesce(F.get("f", F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(names)))
 
 
+_PIECE = ["fields", "f", "origin", "b", "place", "t"]
+
+
+def _first_row(batches: Iterator[pa.RecordBatch], delimiter: str) -> Iterator[pa.RecordBatch]:
+    text = "\n".join(line for batch in batches for line in batch.column(0).to_pylist())
+    found = next(split_csv(text + "\n", delimiter), None) if text else None
+    yield pa.RecordBatch.from_arrays([pa.array([found] if found else [], pa.list_(pa.string()))], names=["f"])
+
+
 def column_of(names: list[str], wanted: str | int | None, what: str = "text") -> str:
     """The column named or numbered; failing that the only one, or the first of :data:`TEXT_NAMES`."""
     if isinstance(wanted, int):
@@ -131,7 +243,7 @@ def column_of(names: list[str], wanted: str | int | None, what: str = "text") ->
     raise ValueError(f"which column holds the {what}? columns: {', '.join(names)}")
 
 
-def csv(spark: SparkSession, path: str, column: str | int | None = None, id_column: str | int | None = None, delimiter: str = ",", header: bool = True, strict: bool = False) -> DataFrame:
+def csv(spark: SparkSession, path: str, column: str | int | None = None, id_column: str | int | None = None, delimiter: str = ",", header: bool = True, strict: bool = True) -> DataFrame:
     """``text, id``; rows with an empty text go, an empty id is null."""
     rows = csv_rows(spark, path, delimiter, header, strict)
     names = rows.columns

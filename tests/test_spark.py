@@ -165,6 +165,30 @@ def test_line_and_ndjson_sources(spark, tmp_path):
         readers.ndjson(spark, str(tmp_path / "a.ndjson"), on_bad_line="throw").collect()
 
 
+def test_csv_is_split_anywhere(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    field = lambda: rng.choice(["a", "", "x y", '"q"tail', '"a ""b"" c"', '"line\nend"', '"two\n\nends, and more"', 'a"b"c', '"\r\n"', "é\r", '"' + "long\n" * 20 + '"', '""', '"",""'])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for n in range(6):
+            want = []
+            for k in range(2):
+                text = "id,message\n" + "".join(f"{i},{field()}\n" for i in range(rng.randint(0, 60))) + ("id,message\n" if n % 2 else "") + ('9,"open' if n == 5 else "")
+                (tmp_path / f"{n}").mkdir(exist_ok=True)
+                (tmp_path / f"{n}" / f"{k}.csv").write_bytes(text.encode())
+                want += [(r[0], r[1] if len(r) > 1 else "") for r in list(readers.split_csv(text))[1:]]
+            rows = readers.csv_rows(spark, str(tmp_path / f"{n}"))
+            assert rows.columns == ["id", "message"] and sorted(map(tuple, rows.collect())) == sorted(want)
+            plain = readers.csv_rows(spark, str(tmp_path / f"{n}"), header=False)
+            assert plain.columns == ["_c0", "_c1"] and plain.count() == len(want) + 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_csv_sources(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_bytes(b'id,author,message\r\n1,x,"a ""b"" c"\r\n2,y,"two\nlines"\r\n,z,plain\r\n4,w,\r\n5,v,"q"tail\r\n')
