@@ -299,7 +299,7 @@ def test_a_hot_family_below_the_threshold_stays():
     common = " ".join(f"c{i}" for i in range(40))
     texts = large([common + "".join(f" u{d}x{i}" for i in range(23)) for d in range(600)])
     _, signature = minhash.signatures(texts, 3, max(128, getattr(minhash, "CHECKED", 0)))
-    codes = (arrays.mix(signature) & np.uint64(255)).astype(np.uint8)
+    codes = minhash.packed(signature)
     bands = minhash.band_hashes(signature[:, :128], 4)
     bucket, doc = bands.T.reshape(-1), np.tile(np.arange(600), bands.shape[1])
     order = np.lexsort((doc, bucket))
@@ -307,6 +307,36 @@ def test_a_hot_family_below_the_threshold_stays():
     assert sum(len(x) for x in minhash._link(128, 0.55)([batch])) == 0
 
 
+def test_packed_values_are_counted_as_single_ones():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 2**63, (50, 128), dtype=np.uint64), rng.integers(0, 2**63, (50, 128), dtype=np.uint64)
+    b[:, ::3] = a[:, ::3]
+    two = lambda x: arrays.mix(x) & np.uint64(3)
+    assert (minhash.different(minhash.packed(a), minhash.packed(b)) == (two(a) != two(b)).sum(1)).all()
+
+
+@pytest.mark.parametrize("cut", [1, 7, 100_000])
+def test_leaders_are_those_of_a_plain_loop(cut):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, (40, 1024), dtype=np.uint64)
+    signature = base[rng.integers(0, 40, 900)]
+    noise = rng.random(signature.shape) < rng.choice([0.0, 0.2, 0.45], 900)[:, None]
+    signature = np.where(noise, rng.integers(0, 2**63, signature.shape, dtype=np.uint64), signature)
+    codes, bucket = minhash.packed(signature), np.sort(rng.choice(np.append(np.arange(60), [7] * 60), 900))
+    rows = [pa.RecordBatch.from_arrays([pa.array(bucket[i : i + cut]), pa.array(np.arange(i, min(i + cut, 900))), pa.array([c.tobytes() for c in codes[i : i + cut]], pa.binary())], names=["bucket", "doc_id", "code"]) for i in range(0, 900, cut)]
+    got = sorted((x, y) for out in minhash._link(128, 0.55)(rows) for x, y in zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+    want, most = [], int(1024 * 0.45 * 0.75)
+    for k in np.unique(bucket):
+        leaders = []
+        for i in np.flatnonzero(bucket == k).tolist():
+            near = [j for j in leaders if minhash.different(codes[[i]], codes[[j]])[0] <= most]
+            if near:
+                want.append((i, near[0]))
+            else:
+                leaders.append(i)
+    assert got == sorted(want) and len(want) > 200
+
+
 @pytest.mark.parametrize("before", ["server ", "Server: ", "over ", "aktiv ", "Treiber_v "])
 def test_an_address_behind_a_word_that_ends_like_version_is_found(before):
     assert [(k, a) for a, _, k in anchors.find(f"{before}10.0.0.1 up")] == [("ip", len(before))]
