@@ -6,13 +6,15 @@ import argparse
 import json
 import sys
 import time
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .endpoint import server
 from .functions import columns
 from .functions.pii import PiiOptions
 from .functions.registry import FilterOptions
-from .operators import adversarial
+from .operators import adversarial, pdf
 from .operators.ai import AiOptions
 from .operators.moderate import GATES, ModerateOptions, moderate, samples, summarize
 from .operators.providers import PROVIDERS
@@ -40,6 +42,7 @@ def _arguments() -> argparse.ArgumentParser:
     scan.add_argument("--delimiter")
     scan.add_argument("--out", help="NDJSON of flagged records")
     scan.add_argument("--all", action="store_true", help="write records that aren't flagged too")
+    scan.add_argument("--pdf", help="write the summary as PDF")
     scan.add_argument("--json", action="store_true", help="the summary as JSON")
     scan.add_argument("--samples", type=int, default=20)
     scan.add_argument("--quiet", action="store_true", help="no progress on standard error")
@@ -50,6 +53,10 @@ def _arguments() -> argparse.ArgumentParser:
     scan.add_argument("--max-calls", type=int, default=100, help="most records that a model is asked about")
     scan.add_argument("--concurrency", type=int, default=8, help="calls at once in each task")
     scan.add_argument("--unordered", action="store_true", help="write results as they come, not in order of the input")
+    serve = commands.add_parser("serve", help="answer over HTTP")
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=8787)
+    serve.add_argument("--ai", choices=sorted(PROVIDERS))
     bench = commands.add_parser("benchmark", help="score the filter against disguises")
     bench.add_argument("--compare", action="store_true", help="one line each: with look-alikes, and literally")
     bench.add_argument("--lang", action="append")
@@ -90,6 +97,8 @@ def scan(spark: SparkSession, a: argparse.Namespace) -> int:
         out = sinks.flagged_output(results, a.all)
         sinks.write_ndjson(out if a.unordered else out.orderBy("index"), a.out, "overwrite")
     shown = [r.asDict(True) for r in samples(results, a.samples).collect()]
+    if a.pdf:
+        Path(a.pdf).write_bytes(pdf.document(text_report(total, shown)))
     print(json.dumps(total, ensure_ascii=False) if a.json else text_report(total, shown))
     return 1 if a.fail and total["flagged"] else 0
 
@@ -111,11 +120,19 @@ def benchmark(spark: SparkSession, a: argparse.Namespace) -> int:
     return 1 if low else 0
 
 
+def serve(spark: SparkSession, a: argparse.Namespace) -> int:
+    asked = AiOptions(provider=a.ai) if a.ai else None
+    if asked:
+        asked.check_key()
+    server(spark, a.host, a.port, asked).serve_forever()
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = _arguments().parse_args(argv)
     spark = SparkSession.builder.appName("sparkwarden").config("spark.ui.enabled", "false").getOrCreate()
     try:
-        return {"scan": scan, "benchmark": benchmark}[a.command](spark, a)
+        return {"scan": scan, "serve": serve, "benchmark": benchmark}[a.command](spark, a)
     except (ValueError, LookupError, TypeError) as why:
         print(f"sparkwarden: {why}", file=sys.stderr)
         return 2

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import columns
+from ..functions import columns, kernel
 from ..functions.pii import PiiOptions
 from ..functions.registry import FilterOptions
 from . import ai as models
@@ -77,6 +77,14 @@ def moderate(df: DataFrame, options: ModerateOptions = ModerateOptions(), text_c
     return rows.select("index", "id", "text", flagged.alias("flagged"), "matched_list", "segments", "pii", "ai", "error")
 
 
+def moderate_text(text: str, options: FilterOptions = FilterOptions(), ai: models.AiOptions | None = None) -> dict:
+    """One text without Spark: ``flagged, matched_list, segments, ai``; a model is asked only if one is given."""
+    pieces = kernel.segments(text, options)
+    matched = any(bad for _, bad in pieces)
+    verdict = models.analyze(text, ai) if ai else None
+    return {"flagged": matched or bool(verdict and verdict["flagged"]), "matched_list": matched, "segments": [{"text": t, "is_profane": bad} for t, bad in pieces], "ai": verdict}
+
+
 def _wanted(rows: DataFrame, options: ModerateOptions) -> Column:
     if callable(options.gate):
         return F.coalesce(options.gate(rows), F.lit(False))

@@ -195,9 +195,64 @@ def test_words_are_sorted_as_people_sort(spark):
 
 def test_command_line_options(spark, tmp_path, capsys):
     (tmp_path / "a.ndjson").write_text('{"id": 1, "body": "what shit"}\n{"id": 2, "body": "fine"}\n')
-    assert main(["scan", str(tmp_path / "a.ndjson"), "--text-field", "body", "--json", "--fail-on-findings", "--quiet", "--out", str(tmp_path / "o")]) == 1
+    assert main(["scan", str(tmp_path / "a.ndjson"), "--text-field", "body", "--json", "--fail-on-findings", "--quiet", "--pdf", str(tmp_path / "r.pdf"), "--out", str(tmp_path / "o")]) == 1 and (tmp_path / "r.pdf").read_bytes()[:4] == b"%PDF"
     said = capsys.readouterr()
     assert json.loads(said.out)["flagged"] == 1 and "records" not in said.err
     assert main(["scan", str(tmp_path / "a.ndjson"), "--text-field", "body", "--ai", "gemini"]) == 2
     assert "GEMINI_API_KEY" in capsys.readouterr().err
     assert main(["benchmark", "--compare", "--lang", "en"]) == 0 and "literal" in capsys.readouterr().out
+
+
+def test_pdf_is_whole():
+    import re
+    import zlib
+
+    from sparkwarden.operators import pdf
+
+    made = pdf.document("\n".join(f"line {i} (with) \\ — é 日" for i in range(200)) + "\n" + "w " * 300)
+    assert made.startswith(b"%PDF-1.4") and made.endswith(b"%%EOF\n")
+    start = int(re.search(rb"startxref\n(\d+)", made)[1])
+    places = [int(x) for x in re.findall(rb"(\d{10}) 00000 n", made[start:])]
+    assert all(made[at:].startswith(b"%d 0 obj" % i) for i, at in enumerate(places, 1))
+    pages = [zlib.decompress(made[m.end() : m.end() + int(m[1])]) for m in re.finditer(rb"/Length (\d+) [^>]*>>\nstream\n", made)]
+    assert len(pages) == int(re.search(rb"/Count (\d+)", made)[1]) > 3 and b"(line 199 \\(with\\) \\\\ \x97 \xe9 ?) Tj" in b"".join(pages)
+
+
+def test_one_text_without_spark():
+    found = M.moderate_text("what sh1t", BOTH)
+    assert found["flagged"] and found["matched_list"] and found["ai"] is None and [s["text"] for s in found["segments"]] == ["what ", "sh1t"]
+    assert M.moderate_text("fine", BOTH, ai.AiOptions(given))["flagged"] and not M.moderate_text("fine", BOTH)["flagged"]
+
+
+def test_endpoint(spark):
+    import http.client
+    from threading import Thread
+
+    from sparkwarden.endpoint import Limiter, MemoryStore, server
+
+    now = [0.0]
+    http_server = server(spark, limiter=Limiter(9, 60, lambda: now[0]))
+    Thread(target=http_server.serve_forever, daemon=True).start()
+
+    def call(method, path, body=None):
+        link = http.client.HTTPConnection("127.0.0.1", http_server.server_port)
+        link.request(method, path, body if isinstance(body, str) else json.dumps(body) if body is not None else None)
+        answer = link.getresponse()
+        return answer.status, json.loads(answer.read())
+
+    try:
+        status, found = call("POST", "/moderate", {"text": "so ein Dr3cksack"})
+        assert status == 200 and found["flagged"] and found["segments"][1]["is_profane"]
+        assert call("POST", "/moderate", {"text": 5})[0] == 400 and call("POST", "/moderate", "{")[0] == 400 and call("POST", "/moderate", {"text": "x", "languages": ["fr"]})[0] == 400
+        assert call("POST", "/moderate", {"text": "x" * 9000})[0] == 413 and call("GET", "/nothing")[0] == 404
+        status, made = call("POST", "/justifications", {"text": "what an asshole", "duration": "7d"})
+        assert status == 200 and made["justification"]["duration"] == "7d" and made["justification"]["facts"]["quote"] == "ass"
+        assert call("GET", f"/justifications/{made['id']}") == (200, made["justification"]) and call("GET", "/justifications/none")[0] == 404
+        assert call("GET", "/nothing")[0] == 429
+        now[0] = 61
+        assert call("GET", "/nothing")[0] == 404
+    finally:
+        http_server.shutdown()
+    store = MemoryStore()
+    store.save("a", 1)
+    assert store.get("a") == 1 and store.get("b") is None and store.list() == [("a", 1)] and store.list(lambda v: v > 1) == []
