@@ -142,6 +142,25 @@ def frequent_words(spark: SparkSession, sf: str) -> DataFrame:
     return M.flagged_words(_t(spark, sf, "documents"), LITERAL, index_column="doc_id", min_count=2).select("word", F.col("count").alias("documents"))
 
 
+def disguised_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Look-alikes and all, over the documents in which nothing has to be undone first: ASCII, no letter thrice in a row, no spaced letters."""
+    docs = _t(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]") & ~F.col("text").rlike(r"(.)\1\1") & ~F.col("text").rlike(_SPACED))
+    found = F.array_distinct(F.transform(columns.profane_hits(F.col("text"), FilterOptions()), lambda h: h["word"]))
+    return docs.select("doc_id", F.array_join(F.array_sort(found), ",").alias("words"))
+
+
+_SPACED = r"(?:^|[^A-Za-z])[A-Za-z][\s._*+~|-]+[A-Za-z][\s._*+~|-]+[A-Za-z](?:[^A-Za-z]|$)"
+
+
+def folded_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents disguised by marks, invisible signs and full width, and flagged as what they are."""
+    stem = F.lit("bitch")
+    disguise = F.element_at(F.array(F.lit("b\u200bitch"), F.lit("ｂｉｔｃｈ"), F.lit("b i t c h"), F.lit("b\u0336itch"), F.lit("biiiitch"), F.lit("b!tch"), F.lit("birch")), (F.col("doc_id") % 7 + 1).cast("int"))
+    rows = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("so a "), disguise, F.lit(". "), F.lit("ok")).alias("text"), F.concat(F.lit("so a "), stem, F.lit(". ok")).alias("plain"))
+    own = FilterOptions(custom_list=("bitch",))
+    return rows.select("doc_id", columns.is_profane(F.col("text"), own).alias("flagged"), F.length(columns.mask_profane(F.col("text"), own)).cast("long").alias("chars"), columns.mask_profane(F.col("plain"), own).alias("plain"))
+
+
 def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
     """The functions and table functions as SQL sees them."""
     columns.register_sql(spark, LITERAL)
@@ -237,7 +256,7 @@ def attack_selection(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        registry_lists, ndjson_round_trip, line_round_trip, csv_round_trip, skipped_lines, flagged_output, stored_notices, dense_index, streamed_flags, literal_segments, literal_words, frequent_words, sql_functions, asked_within_budget,
+        registry_lists, ndjson_round_trip, line_round_trip, csv_round_trip, skipped_lines, flagged_output, stored_notices, dense_index, streamed_flags, literal_segments, literal_words, frequent_words, disguised_flags, folded_text, sql_functions, asked_within_budget,
         parsed_verdicts, literal_notices, card_shapes, phone_shapes, ip_shapes, run_totals, tuning_runs, entry_checks, attack_scores_literal, attack_selection,
     )
 }
@@ -306,6 +325,16 @@ UNION ALL SELECT 'unjudged', count(*)::VARCHAR, NULL, NULL FROM top WHERE word N
 """
 
 
+_THRICE = "|".join(re.escape(chr(c)) * 3 for c in range(32, 127)) + r"|\t\t\t"
+_W = r"[\p{L}\p{M}\p{N}_]"
+_WIDE = _quoted(patterns.alternation(FilterOptions().resolved().block, True))
+_WIDE_ALLOW = _quoted(patterns.alternation(FilterOptions().resolved().allow, True))
+_DISGUISED_SQL = f"""
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '(?i){_W}*(?:{_WIDE}){_W}*'), lambda w: NOT regexp_full_match(w, '(?i)(?:{_WIDE_ALLOW})')), lambda w: lower(w)))), ',') AS words
+FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(text, '{_quoted(_THRICE)}') AND NOT regexp_matches(text, '{_SPACED}')
+"""
+
+
 _EACH = f"SELECT doc_id, text, {_FLAGGED_BOTH} AS listed, len({_EMAILS}) AS email, len({_CARDS}) AS card, len({_PHONES}) AS phone, len({_IPS}) AS ip FROM documents"
 ORACLE_SQL = {
     "registry_lists": _REGISTRY_SQL,
@@ -320,6 +349,8 @@ ORACLE_SQL = {
     "literal_segments": f"SELECT doc_id, len(h)::BIGINT AS pieces, length(array_to_string(h, ''))::BIGINT AS chars, md5(text) AS joined FROM (SELECT doc_id, text, {_HITS} AS h FROM documents)",
     "literal_words": f"SELECT word, array_to_string(list_sort(list_distinct(flatten(list(regexp_extract_all(word, '(?i){_BLOCK['en']}'))))), ',') AS hits, count(*) AS documents, array_to_string(list(md5(text) ORDER BY doc_id)[1:3], ',') AS samples FROM ({_WORDS}) GROUP BY word",
     "frequent_words": f"SELECT word, count(*) AS documents FROM ({_WORDS}) GROUP BY word HAVING count(*) >= 2",
+    "disguised_flags": _DISGUISED_SQL,
+    "folded_text": "SELECT doc_id, doc_id % 7 < 6 AS flagged, [15, 14, 18, 15, 17, 14, 14][doc_id % 7 + 1]::BIGINT AS chars, 'so a *****. ok' AS plain FROM documents",
     "sql_functions": f"SELECT lower(hit) AS hit, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest({_HITS}) AS hit FROM documents) GROUP BY 1",
     "asked_within_budget": f"SELECT doc_id, CASE WHEN n <= 25 THEN 'ok' ELSE 'skipped' END AS status, CASE WHEN n <= 25 THEN 'r' ELSE '{ai.OVER_BUDGET}' END AS reason FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE {_FLAGGED})",
     "parsed_verdicts": "SELECT doc_id, doc_id % 3 = 0 AS flagged, CASE doc_id % 4 WHEN 1 THEN 'low' WHEN 3 THEN 'high' ELSE 'none' END AS severity, 'insult' AS categories, greatest(0, least(1, (doc_id % 7 - 2) / 4))::DOUBLE AS confidence, substr(text, 1, 5) AS reason, '' AS quote FROM documents",
