@@ -213,6 +213,31 @@ def _kind(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     return found.where(F.size("p") > 0).select("doc_id", F.size("p").cast("long").alias("findings"), F.array_join(F.transform("p", lambda p: p["text"]), "|").alias("texts"))
 
 
+def made_up_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences made of order keys, a sixth each: IBANs, tax numbers, phones, IPv6 addresses, cards of no issuer and version numbers, about half of them wrong."""
+    k = F.col("o_orderkey")
+    d = F.lpad((k * 7919).cast("string"), 18, "0")
+    odd = F.floor(k / 6) % 2 == 1
+    check = 98 - (F.concat(d, F.lit("131400")).cast("decimal(24,0)") % 97).cast("int")
+    iban = F.concat(F.lit("pay to DE"), F.lpad(F.when(odd, (check + 1) % 100).otherwise(check).cast("string"), 2, "0"), d, F.lit(" now"))
+    tax = F.concat(F.lit("Steuer-ID "), (k * 7919 + 10_000_000_000).cast("string"), F.lit(" bitte"))
+    phone = F.concat(F.lit("see 0"), F.substr(F.reverse(d), F.lit(1), (5 + F.floor(k / 6) % 13).cast("int")), F.lit(" soon"))
+    six = F.concat(F.lit("at 2001:db8:"), F.lower(F.hex(k)), F.when(odd, ":::").otherwise("::"), F.lower(F.hex(k % 65536)), F.lit(" it is"))
+    card = F.concat(F.when(odd, "the code 9").otherwise("the card 9"), F.left(F.reverse(d), F.lit(14)), (F.floor(k / 12) % 10).cast("string"), F.lit("."))
+    four = F.concat(F.when(odd, "version 1.2.3.").otherwise("from 1.2.3."), (k % 300).cast("string"), F.lit(" on"))
+    text = F.element_at(F.array(iban, tax, phone, six, card, four), (k % 6 + 1).cast("int"))
+    found = columns.pii_findings(text)
+    rows = _t(spark, sf, "orders").select("o_orderkey", text.alias("text"), found.alias("p"))
+    return rows.select("o_orderkey", F.array_join(F.transform("p", lambda p: p["kind"]), ",").alias("kinds"), F.array_join(F.transform("p", lambda p: p["text"]), "|").alias("texts"))
+
+
+def private_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of each document that are an email or not, and what they come to."""
+    own = PiiOptions(("email",))
+    rows = _t(spark, sf, "documents").select("doc_id", columns.has_pii(F.col("text"), own).alias("private"), columns.pii_segments(F.col("text"), own).alias("s"))
+    return rows.select("doc_id", "private", F.size(F.filter("s", lambda x: x["is_pii"])).cast("long").alias("emails"), F.md5(F.array_join(F.transform("s", lambda x: x["text"]), "")).alias("joined"), F.array_join(F.transform(F.filter("s", lambda x: x["is_pii"]), lambda x: x["text"]), "|").alias("texts"))
+
+
 def run_totals(spark: SparkSession, sf: str) -> DataFrame:
     """The summary of a run with literal lists and personal data."""
     results = M.moderate(_t(spark, sf, "documents"), M.ModerateOptions(filter=BOTH, pii=PiiOptions()), index_column="doc_id")
@@ -257,7 +282,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         registry_lists, ndjson_round_trip, line_round_trip, csv_round_trip, skipped_lines, flagged_output, stored_notices, dense_index, streamed_flags, literal_segments, literal_words, frequent_words, disguised_flags, folded_text, sql_functions, asked_within_budget,
-        parsed_verdicts, literal_notices, card_shapes, phone_shapes, ip_shapes, run_totals, tuning_runs, entry_checks, attack_scores_literal, attack_selection,
+        parsed_verdicts, literal_notices, card_shapes, phone_shapes, ip_shapes, made_up_data, private_pieces, run_totals, tuning_runs, entry_checks, attack_scores_literal, attack_selection,
     )
 }
 
@@ -335,6 +360,20 @@ FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_m
 """
 
 
+_TAX = "list_max(n) <= 3 AND len(list_filter(n, lambda x: x > 1)) = 1 AND (11 - list_reduce(list_prepend(10, list_transform(string_split(d[1:10], ''), lambda c: c::INT)), lambda p, c: (CASE WHEN (c + p) % 10 = 0 THEN 10 ELSE (c + p) % 10 END) * 2 % 11)) % 10 = d[11]::INT"
+_MADE_UP_SQL = f"""
+WITH keys AS (SELECT o_orderkey AS k, lpad((o_orderkey * 7919)::VARCHAR, 18, '0') AS z, (o_orderkey // 6) % 2 = 1 AS odd FROM orders),
+ibans AS (SELECT k, 'iban' AS kind, c AS v FROM (SELECT k, odd, z, 'DE' || lpad(((98 - (z || '131400')::HUGEINT % 97 + odd::INT) % 100)::VARCHAR, 2, '0') || z AS c FROM keys WHERE k % 6 = 0) WHERE (substr(c, 5) || '1314' || substr(c, 3, 2))::HUGEINT % 97 = 1),
+taxes AS (SELECT k, 'taxid-de' AS kind, d AS v FROM (SELECT k, d, list_transform(range(0, 10), lambda x: 10 - length(replace(d[1:10], x::VARCHAR, ''))) AS n FROM (SELECT k, (k * 7919 + 10000000000)::VARCHAR AS d FROM keys WHERE k % 6 = 1)) WHERE {_TAX}),
+phones AS (SELECT k, 'phone' AS kind, d AS v FROM (SELECT k, '0' || substr(reverse(z), 1, (5 + (k // 6) % 13)::INT) AS d FROM keys WHERE k % 6 = 2) WHERE CASE WHEN d[2] = '0' THEN length(d) BETWEEN 10 AND 17 ELSE length(d) BETWEEN 7 AND 14 END),
+sixes AS (SELECT k, 'ip' AS kind, '2001:db8:' || lower(hex(k)) || '::' || lower(hex(k % 65536)) AS v FROM keys WHERE k % 6 = 3 AND NOT odd AND length(hex(k)) <= 4),
+cards AS (SELECT k, 'card' AS kind, d AS v FROM (SELECT k, odd, '9' || left(reverse(z), 14) || ((k // 12) % 10)::VARCHAR AS d FROM keys WHERE k % 6 = 4) WHERE NOT odd AND {_LUHN}),
+fours AS (SELECT k, 'ip' AS kind, '1.2.3.' || (k % 300)::VARCHAR AS v FROM keys WHERE k % 6 = 5 AND NOT odd AND k % 300 BETWEEN 10 AND 255),
+found AS (FROM ibans UNION ALL FROM taxes UNION ALL FROM phones UNION ALL FROM sixes UNION ALL FROM cards UNION ALL FROM fours)
+SELECT keys.k AS o_orderkey, coalesce(kind, '') AS kinds, coalesce(v, '') AS texts FROM keys LEFT JOIN found USING (k)
+"""
+
+
 _EACH = f"SELECT doc_id, text, {_FLAGGED_BOTH} AS listed, len({_EMAILS}) AS email, len({_CARDS}) AS card, len({_PHONES}) AS phone, len({_IPS}) AS ip FROM documents"
 ORACLE_SQL = {
     "registry_lists": _REGISTRY_SQL,
@@ -359,6 +398,8 @@ ORACLE_SQL = {
     "phone_shapes": _KIND_SQL(_PHONES),
     "ip_shapes": _KIND_SQL(_IPS),
     "run_totals": f"SELECT count(*) AS processed, count(*) FILTER (listed OR email + card + phone + ip > 0) AS flagged, count(*) FILTER (listed) AS matched_list, count(*) FILTER (email + card + phone + ip > 0) AS pii_records, sum(email + card + phone + ip)::BIGINT AS pii_findings, 0::BIGINT AS errors, sum(email)::BIGINT AS email, sum(card)::BIGINT AS card, sum(phone)::BIGINT AS phone, sum(ip)::BIGINT AS ip FROM ({_EACH})",
+    "made_up_data": _MADE_UP_SQL,
+    "private_pieces": f"SELECT doc_id, len(f) > 0 AS private, len(f)::BIGINT AS emails, md5(text) AS joined, array_to_string(f, '|') AS texts FROM (SELECT doc_id, text, {_EMAILS} AS f FROM documents)",
     "tuning_runs": _tuned_sql(),
     "entry_checks": "SELECT entry, word, reason IS NULL AS ok, reason, CASE WHEN reason = 'too-broad' THEN 'whores' END AS offensive FROM (SELECT entry, word, CASE WHEN NOT regexp_full_match(word, entry) THEN 'no-effect' WHEN regexp_full_match('whores', entry) THEN 'too-broad' END AS reason FROM (VALUES " + ", ".join(f"('{_quoted(e)}', '{w}')" for e, w in CANDIDATES) + ") AS t(entry, word))",
     "attack_scores_literal": f"SELECT category, count(*) AS total, sum((({_FLAGGED_BOTH}) = (expect = 'flag'))::INT)::BIGINT AS passed FROM {_CORPUS} GROUP BY ROLLUP (category)",
