@@ -44,6 +44,8 @@ from .storage import stored
 
 #: Estimates made at once: what bounds a task's memory.
 PAIRS = 1 << 18
+#: Vectors of queries are broadcast up to so many bytes, beyond that shuffled.
+BROADCAST_BYTES = 16 << 20
 #: Bits to which a query's dimensions are rounded.
 PLANES = 5
 
@@ -338,7 +340,8 @@ def neighbours(
     cut = F.broadcast(spark.createDataFrame([(i, int(b), int(p)) for i, (b, p) in enumerate(zip(block, parts, strict=True))], "cell int, block long, parts long"))
     here = placed.join(cut, "cell").select("vec_id", "cell", "code", "length", "inner", "along", (F.col("block") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("block"))
     questions = asking.mapInArrow(ask, "q long, v array<float>, block long, cells array<int>")
-    shares = max(1, -(-asking.count() // part_queries))
+    asked = asking.count()
+    shares = max(1, -(-asked // part_queries))
     here = here.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))) if shares > 1 else here.withColumn("share", F.lit(0))
     questions = questions.withColumn("share", F.pmod(F.xxhash64("q"), F.lit(shares)).cast("int"))
     found = here.groupBy("block", "share").cogroup(questions.groupBy("block", "share")).applyInArrow(_search(k, epsilon, c_held, turn_held), _CANDIDATE)
@@ -346,7 +349,9 @@ def neighbours(
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("least")))
     floor = F.min(F.when(F.col("nth") == k, F.col("least"))).over(Window.partitionBy("q"))
     left = found.withColumn("nth", nth).withColumn("floor", floor).where("floor is null or most >= floor").select("q", "vec_id")
-    pairs = left.join(vectors.select("vec_id", "v"), "vec_id").join(asking.select(F.col("vec_id").alias("q"), F.col("v").alias("w")), "q").select("q", "vec_id", "v", "w")
+    own = asking.select(F.col("vec_id").alias("q"), F.col("v").alias("w"))
+    own = F.broadcast(own) if asked * c.shape[1] * 4 <= BROADCAST_BYTES else own
+    pairs = left.join(vectors.select("vec_id", "v"), "vec_id").join(own, "q").select("q", "vec_id", "v", "w")
     exact = pairs.mapInArrow(_compared, "vec_id long, neighbour_id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))
     return exact.withColumn("rank", rank.cast(T.IntegerType())).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", "similarity")
