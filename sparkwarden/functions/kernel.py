@@ -38,34 +38,48 @@ def needs_rewrite(text: str) -> bool:
 
 
 class Rewriting:
-    """A text of which some places are replaced, with the place that each character came from."""
+    """A text of which some places are replaced, and where each of its characters came from."""
 
     def __init__(self, text: str):
-        self.text, self.at = text, 0
+        self.text, self.at, self.size = text, 0, 0
         self.parts: list[str] = []
-        self.starts: list[int] = []
-        self.ends: list[int] = []
+        # Of each part: where it begins, and what it came from; -1 as its end if it was copied.
+        self.begins: list[int] = []
+        self.origins: list[tuple[int, int]] = []
 
-    def upto(self, i: int) -> None:
-        """What lies before ``i`` stays."""
-        if i > self.at:
-            self.parts.append(self.text[self.at : i])
-            self.starts += range(self.at, i)
-            self.ends += range(self.at + 1, i + 1)
-            self.at = i
+    def _add(self, part: str, start: int, end: int) -> None:
+        if part:
+            self.parts.append(part)
+            self.begins.append(self.size)
+            self.origins.append((start, end))
+            self.size += len(part)
 
     def put(self, new: str, start: int, end: int) -> None:
-        """``new`` for what lies from ``start`` to ``end``."""
-        self.upto(start)
-        self.parts.append(new)
-        self.starts += [start] * len(new)
-        self.ends += [end] * len(new)
+        """``new`` for what lies from ``start`` to ``end``; what lies before it stays."""
+        self._add(self.text[self.at : start], self.at, -1)
+        self._add(new, start, end)
         self.at = end
 
+    def done(self) -> str:
+        self._add(self.text[self.at :], self.at, -1)
+        return "".join(self.parts)
 
-def normalize(text: str) -> tuple[str, list[int], list[int]] | None:
-    """``(haystack, starts, ends)``: the text undisguised, and where in the original each of its
-    characters came from.  None if there is nothing to undo.  Only the places that change are rewritten, the rest is copied."""
+    def start(self, i: int) -> int:
+        """Where in the original the character ``i`` begins."""
+        k = bisect_right(self.begins, i) - 1
+        start, end = self.origins[k]
+        return start + i - self.begins[k] if end < 0 else start
+
+    def end(self, i: int) -> int:
+        """Where it ends."""
+        k = bisect_right(self.begins, i) - 1
+        start, end = self.origins[k]
+        return start + i - self.begins[k] + 1 if end < 0 else end
+
+
+def rewritten(text: str) -> tuple[str, Rewriting, Rewriting] | None:
+    """The text undisguised, and the two steps that led to it.  None if there is nothing to undo.
+    Only the places that change are rewritten, the rest is copied."""
     if not needs_rewrite(text):
         return None
     changes: dict[int, tuple[int, str]] = {}
@@ -88,14 +102,22 @@ def normalize(text: str) -> tuple[str, list[int], list[int]] | None:
     first = Rewriting(text)
     for start in sorted(changes):
         first.put(changes[start][1], start, changes[start][0])
-    first.upto(len(text))
-    folded = "".join(first.parts)
-    low = _lower(folded)
+    folded = first.done()
     second = Rewriting(folded)
-    for m in _THRICE.finditer(low):
+    for m in _THRICE.finditer(_lower(folded)):
         second.put(folded[m.start()], *m.span())
-    second.upto(len(folded))
-    return "".join(second.parts), [first.starts[i] for i in second.starts], [first.ends[i - 1] for i in second.ends]
+    return second.done(), first, second
+
+
+def normalize(text: str) -> tuple[str, list[int], list[int]] | None:
+    """``(haystack, starts, ends)``: the text undisguised, and where in the original each of its
+    characters came from.  None if there is nothing to undo."""
+    found = rewritten(text)
+    if found is None:
+        return None
+    haystack, first, second = found
+    at = range(len(haystack))
+    return haystack, [first.start(second.start(i)) for i in at], [first.end(second.end(i) - 1) for i in at]
 
 
 #: Single characters that stay as they are.
@@ -141,7 +163,7 @@ def _hits(text: str, lists, aggressive: bool) -> list[tuple[int, int]]:
         return []
     block = patterns.python_regex(lists.block, aggressive)
     allow = patterns.python_regex(lists.allow, aggressive, True) if lists.allow else None
-    mapped = normalize(text) if aggressive else None
+    mapped = rewritten(text) if aggressive else None
     haystack = mapped[0] if mapped else text
     seen = haystack.replace(_DOTTED, _SHIELD) if _DOTTED in haystack else haystack
     out: list[tuple[int, int]] = []
@@ -149,7 +171,8 @@ def _hits(text: str, lists, aggressive: bool) -> list[tuple[int, int]]:
         if allow is not None and allow.match(enclosing_word(seen, a, b)):
             continue
         if mapped:
-            a, b = mapped[1][a], mapped[2][b - 1]
+            _, first, second = mapped
+            a, b = first.start(second.start(a)), first.end(second.end(b - 1) - 1)
         if not out or a >= out[-1][1]:
             out.append((a, b))
     return out

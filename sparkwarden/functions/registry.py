@@ -123,6 +123,13 @@ class FilterOptions:
 
     def resolved(self) -> Lists:
         """The lists in force.  A custom list replaces what is blocked; the allowlist stays."""
+        known = self.__dict__.get("_lists")  # looked up for every text
+        if known is None:
+            known = self._resolved()
+            object.__setattr__(self, "_lists", known)
+        return known
+
+    def _resolved(self) -> Lists:
         codes = self.registry.codes() if self.languages == "*" else [self.languages] if isinstance(self.languages, str) else self.languages
         block: list[str] = []
         allow: list[str] = []
