@@ -145,6 +145,13 @@ def mask_profane(text: Column, options: FilterOptions = FilterOptions(), sign: s
     return run(text)
 
 
+def highlighted(text: Column, options: FilterOptions = FilterOptions(), tag: str = "mark") -> Column:
+    """The text as HTML, flagged pieces within ``tag``: what notebooks and pages show.  Null stays null."""
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    piece = lambda s: F.when(s["is_profane"], F.concat(F.lit(f"<{tag}>"), escape(s["text"]), F.lit(f"</{tag}>"))).otherwise(escape(s["text"]))
+    return F.when(text.isNotNull(), F.array_join(F.transform(profane_segments(text, options), piece), ""))
+
+
 def pii_findings(text: Column, options: PiiOptions = PiiOptions()) -> Column:
     return F.coalesce(analysis(text, None, options)["pii"], F.array().cast(FINDINGS))
 

@@ -96,6 +96,15 @@ def tune(df: DataFrame, options: FilterOptions = FilterOptions(), verdicts: Mapp
     return report
 
 
+def with_verdicts(words: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``words`` (of :func:`.moderate.flagged_words`) with the ``verdict`` of each in a table ``word, verdict``; ``unjudged`` where it has none.
+
+    Of several verdicts of one word the first in the order of :data:`VERDICTS` counts, so that no word is multiplied."""
+    rank = F.array_position(F.array(*map(F.lit, VERDICTS)), F.col("verdict"))
+    known = verdicts.where(F.col("verdict").isin(*VERDICTS)).groupBy("word").agg(F.min_by("verdict", rank).alias("verdict"))
+    return words.join(known, "word", "left").withColumn("verdict", F.coalesce("verdict", F.lit("unjudged")))
+
+
 def _wider(options: FilterOptions, entries: list[str]) -> FilterOptions:
     return replace(options, allow_list=(*options.allow_list, *entries))
 

@@ -161,6 +161,19 @@ def folded_text(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", columns.is_profane(F.col("text"), own).alias("flagged"), F.length(columns.mask_profane(F.col("text"), own)).cast("long").alias("chars"), columns.mask_profane(F.col("plain"), own).alias("plain"))
 
 
+def highlighted_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as HTML with listed words marked."""
+    own = FilterOptions(custom_list=("the",), cross_check=False, aggressive=False)
+    return _t(spark, sf, "documents").select("doc_id", F.md5(columns.highlighted(F.col("text"), own)).alias("html"))
+
+
+def judged_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagged words by what a table of verdicts says of them."""
+    verdicts = spark.createDataFrame([("scum", "ordinary"), ("whores", "offensive"), ("whorer", "unsure"), ("whorer", "offensive"), ("other", "ordinary"), ("whored", "nonsense")], "word string, verdict string")
+    words = M.flagged_words(_t(spark, sf, "documents"), LITERAL, index_column="doc_id")
+    return allowlist.with_verdicts(words, verdicts).groupBy("verdict").agg(F.count(F.lit(1)).alias("words"), F.sum("count").alias("documents"))
+
+
 def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
     """The functions and table functions as SQL sees them."""
     columns.register_sql(spark, LITERAL)
@@ -281,7 +294,7 @@ def attack_selection(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        registry_lists, ndjson_round_trip, line_round_trip, csv_round_trip, skipped_lines, flagged_output, stored_notices, dense_index, streamed_flags, literal_segments, literal_words, frequent_words, disguised_flags, folded_text, sql_functions, asked_within_budget,
+        registry_lists, ndjson_round_trip, line_round_trip, csv_round_trip, skipped_lines, flagged_output, stored_notices, dense_index, streamed_flags, literal_segments, literal_words, frequent_words, highlighted_text, judged_words, disguised_flags, folded_text, sql_functions, asked_within_budget,
         parsed_verdicts, literal_notices, card_shapes, phone_shapes, ip_shapes, made_up_data, private_pieces, run_totals, tuning_runs, entry_checks, attack_scores_literal, attack_selection,
     )
 }
@@ -388,6 +401,8 @@ ORACLE_SQL = {
     "literal_segments": f"SELECT doc_id, len(h)::BIGINT AS pieces, length(array_to_string(h, ''))::BIGINT AS chars, md5(text) AS joined FROM (SELECT doc_id, text, {_HITS} AS h FROM documents)",
     "literal_words": f"SELECT word, array_to_string(list_sort(list_distinct(flatten(list(regexp_extract_all(word, '(?i){_BLOCK['en']}'))))), ',') AS hits, count(*) AS documents, array_to_string(list(md5(text) ORDER BY doc_id)[1:3], ',') AS samples FROM ({_WORDS}) GROUP BY word",
     "frequent_words": f"SELECT word, count(*) AS documents FROM ({_WORDS}) GROUP BY word HAVING count(*) >= 2",
+    "highlighted_text": "SELECT doc_id, md5(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(the)', '<mark>\\1</mark>', 'gi')) AS html FROM documents",
+    "judged_words": f"SELECT coalesce(verdict, 'unjudged') AS verdict, count(*) AS words, sum(n)::BIGINT AS documents FROM (SELECT word, count(*) AS n FROM ({_WORDS}) GROUP BY word) LEFT JOIN (VALUES ('scum', 'ordinary'), ('whores', 'offensive'), ('whorer', 'offensive'), ('other', 'ordinary')) AS v(word, verdict) USING (word) GROUP BY 1",
     "disguised_flags": _DISGUISED_SQL,
     "folded_text": "SELECT doc_id, doc_id % 7 < 6 AS flagged, [15, 14, 18, 15, 17, 14, 14][doc_id % 7 + 1]::BIGINT AS chars, 'so a *****. ok' AS plain FROM documents",
     "sql_functions": f"SELECT lower(hit) AS hit, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest({_HITS}) AS hit FROM documents) GROUP BY 1",
