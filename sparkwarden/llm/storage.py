@@ -26,7 +26,10 @@ def folder(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="sparkwarden-")
         spark.conf.set("spark.checkpoint.dir", path)
     path = f"{path.rstrip('/')}/sparkwarden-{spark.sparkContext.applicationId}"
-    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])
+    files, where = _files(spark, path)
+    if not files.exists(where):
+        files.mkdirs(where)
+        files.deleteOnExit(where)
     return path
 
 

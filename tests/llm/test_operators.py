@@ -214,5 +214,35 @@ def test_sharding_by_brute_force(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_intermediate_tables_go(spark, monkeypatch):
+    import os
+
+    from sparkwarden.llm import storage
+
+    one, two = (storage.stored(spark.range(3), "kept") for _ in range(2))
+    where = storage.folder(spark)
+    assert where.startswith(spark.conf.get("spark.checkpoint.dir")) and len([x for x in os.listdir(where) if x.startswith("kept-")]) >= 2
+    before = len(os.listdir(where))
+    storage.dropped(one)
+    assert len(os.listdir(where)) == before - 1 and two.count() == 3
+    storage.dropped(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
+    assert os.path.exists("/root/testdata/sf0.001/region.parquet")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as S
+
+    from sparkwarden.llm import storage
+
+    spark = S(conf=S(get=lambda *_: None), sparkContext=S(master="local-cluster[2,1,512]", applicationId="a"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.folder(spark)
+
+
+def test_sharding_needs_a_shard(docs):
+    with pytest.raises(ValueError):
+        sharding.shard(docs, shards=0)
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
