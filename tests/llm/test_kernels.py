@@ -303,7 +303,7 @@ def test_a_hot_family_below_the_threshold_stays():
     bands = minhash.band_hashes(signature[:, :128], 4)
     bucket, doc = bands.T.reshape(-1), np.tile(np.arange(600), bands.shape[1])
     order = np.lexsort((doc, bucket))
-    batch = pa.RecordBatch.from_arrays([pa.array(bucket[order]), pa.array(doc[order]), pa.array([codes[d].tobytes() for d in doc[order]], pa.binary())], names=["bucket", "doc_id", "code"])
+    batch = pa.RecordBatch.from_arrays([pa.array(bucket[order]), *(pa.array(np.full(len(order), k)) for k in (0, 1)), pa.array(doc[order]), pa.array([codes[d].tobytes() for d in doc[order]], pa.binary())], names=["bucket", "block", "blocks", "doc_id", "code"])
     assert sum(len(x) for x in minhash._link(128, 0.55)([batch])) == 0
 
 
@@ -323,8 +323,12 @@ def test_leaders_are_those_of_a_plain_loop(cut):
     noise = rng.random(signature.shape) < rng.choice([0.0, 0.2, 0.45], 900)[:, None]
     signature = np.where(noise, rng.integers(0, 2**63, signature.shape, dtype=np.uint64), signature)
     codes, bucket = minhash.packed(signature), np.sort(rng.choice(np.append(np.arange(60), [7] * 60), 900))
-    rows = [pa.RecordBatch.from_arrays([pa.array(bucket[i : i + cut]), pa.array(np.arange(i, min(i + cut, 900))), pa.array([c.tobytes() for c in codes[i : i + cut]], pa.binary())], names=["bucket", "doc_id", "code"]) for i in range(0, 900, cut)]
-    got = sorted((x, y) for out in minhash._link(128, 0.55)(rows) for x, y in zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+    blocks = np.where(bucket % 2 == 0, 1, 3)
+    take = lambda i: [pa.array(bucket[i : i + cut]), pa.array(bucket[i : i + cut] % 3), pa.array(blocks[i : i + cut]), pa.array(np.arange(i, min(i + cut, 900))), pa.array([c.tobytes() for c in codes[i : i + cut]], pa.binary())]
+    rows = [pa.RecordBatch.from_arrays(take(i), names=["bucket", "block", "blocks", "doc_id", "code"]) for i in range(0, 900, cut)]
+    every = [(x, y, b, c) for out in minhash._link(128, 0.55)(rows) for x, y, b, c in zip(*(out.column(i).to_pylist() for i in (0, 1, 2, 5)))]
+    got = sorted((x, y) for x, y, *_ in every if y is not None)
+    heads = sorted((x, b, c) for x, y, b, c in every if y is None)
     want, most = [], int(1024 * 0.45 * 0.75)
     for k in np.unique(bucket):
         leaders = []
@@ -335,6 +339,7 @@ def test_leaders_are_those_of_a_plain_loop(cut):
             else:
                 leaders.append(i)
     assert got == sorted(want) and len(want) > 200
+    assert heads == [(i, bucket[i], codes[i].tobytes()) for i in range(900) if bucket[i] % 2 and i not in dict(want)]
 
 
 @pytest.mark.parametrize("before", ["server ", "Server: ", "over ", "aktiv ", "Treiber_v "])

@@ -181,6 +181,16 @@ def test_near_duplicates_find_pairs_of_high_similarity(spark):
     group = {r.doc_id: r.group_id for r in minhash.groups(df).collect()}
     assert np.mean([group[a] == group[b] for a, b in true]) >= 0.95
     assert len(set(group.values())) >= 60 and all(group[i] == 0 for i in range(120, 620))
+    # Blocks of three rows: the same groups, put together across blocks.
+    assert {r.doc_id: r.group_id for r in minhash.groups(df, block=3).collect()} == group
+
+
+def test_near_duplicates_in_blocks_of_a_hot_bucket(spark):
+    rng = np.random.default_rng(2)
+    common = " ".join(f"c{i}" for i in range(40))
+    texts = [common + "".join(f" u{d // 2 if d % 5 else d}x{i}" for i in range(int(rng.integers(26, 30)))) for d in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(r) for r in minhash.groups(df, block=20).collect()} == {tuple(r) for r in minhash.groups(df).collect()}
 
 
 def test_components_of_a_long_chain(spark):
