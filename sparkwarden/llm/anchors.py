@@ -86,7 +86,7 @@ _DATE = regex.compile(r"(?:19|20)\d\d(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}(?!\d)|\d{1
 _IBAN = regex.compile(r"[A-Z]{2}\d{2}(?:[ .-]?[A-Z0-9]){11,30}")
 _SSN = regex.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}")
 _ACCOUNT = regex.compile(r"(?i)(?:\s*(?:number|no|nr|id|#|is|:|=|n°|ist|es|est)\.?){0,3}\s*[:=#]?\s*(?P<v>[A-Z]{0,2}\d(?:[ -]?\d){5,19})")
-_SECRET = regex.compile(r"(?i)[\"']?\s*(?:=|:|\bis\b)\s*(?:bearer\s+)?(?P<q>[\"'`]?)")
+_SECRET = regex.compile(r"(?i)[\"']?\s*(?P<j>=|:|\bis\b)\s*(?:bearer\s+)?(?P<q>[\"'`]?)")
 _VALUE = regex.compile(r"[^\s\"'`,;<>()]+")
 _TAIL = ".!?*#%&$|"
 _BEARER = regex.compile(r"\s+(?P<v>[A-Za-z0-9._~+/=-]{16,})")
@@ -314,6 +314,8 @@ def _secret(text: str, cue_end: int, word: str, runs: Runs) -> tuple[int, int] |
         end, hi = runs.end(lo)
         if end - lo < 8 or quote and text[end : end + 1] != quote:
             return None
+        if len(m.group("j")) == 2 and not any(map(str.isdigit, text[lo:hi])):
+            return None  # 'the secret is well-known'
     if hi - lo < 8 or not any(text[k].isdigit() or not text[k].isalnum() for k in range(lo, hi)):
         return None
     return lo, hi
