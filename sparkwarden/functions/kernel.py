@@ -20,8 +20,9 @@ _GAP = regex.compile("[" + patterns.JS_SPACE + r"._*+~|\-]")
 _HIDDEN = regex.compile(r"[\p{Cf}\p{M}]")
 _REPEAT = re.compile("([^\\n\\r\\u2028\\u2029])\\1\\1")
 _THRICE = re.compile(r"(?s)(.)\1\1+")
-#: Three single letters are enough to know that there is a run.  The first pattern is a cheap look for two of them.
-_TWO = re.compile(f"[{patterns.JS_SPACE}._*+~|\\-][^\\W\\d_][{patterns.JS_SPACE}._*+~|\\-]+[^\\W\\d_](?![^\\W\\d_])")
+#: Three single letters are enough to know that there is a run.  The first pattern is a cheap look for two of them;
+#: behind them only what is a letter beyond doubt counts, since a fraction is a word character and no letter.
+_TWO = re.compile(f"[{patterns.JS_SPACE}._*+~|\\-][^\\W\\d_][{patterns.JS_SPACE}._*+~|\\-]+[^\\W\\d_](?![A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af])")
 _THREE = regex.compile(r"\p{L}(?<!\p{L}\p{L})" + (f"[{patterns.JS_SPACE}" + r"._*+~|\-]+\p{L}") * 2 + r"(?!\p{L})")
 _MARK = regex.compile(r"\p{M}")
 #: A character that is not ASCII or has marks, with them.

@@ -1,7 +1,7 @@
 """Text functions without Spark."""
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from sparkwarden.functions import checksums, kernel, patterns, pii
@@ -129,6 +129,7 @@ ODD = st.text(alphabet=st.sampled_from("aAbß. -_\n￼éｅ́̈ﬁΣσςİıKk
 
 
 @settings(max_examples=1500, deadline=None)
+@example("A.A.A⅐")
 @given(st.one_of(st.text(max_size=60), ODD))
 def test_rewriting_places_is_rewriting_all(text):
     assert kernel.normalize(text) == slow_normalize(text)
