@@ -16,7 +16,10 @@ none.  A bucket of more than ``BLOCK`` rows is cut into blocks by a hash of the
 each block (a block of copies has one) then meet those of every other block, a pair of blocks a group, so that no task holds
 more than two blocks.  No pairs are written but links, and nothing is capped.  Documents that are alike only below the threshold
 are all leaders: each comparison is a few operations on packed words, but there are as many as pairs.
-Links are joined into groups by alternating large-star and small-star steps.
+Links are joined into groups by alternating large-star and small-star steps.  What resembles a document that is no leader, but not its leader, is
+then looked for in those buckets that hold several groups, one of them of several rows: all rows of different groups are compared, but for
+those that distances from a leader rule out, and the groups that a link joins become one.  So the groups are those of all similar pairs that
+share a bucket.
 
 Result: ``doc_id, group_id, keep`` for every distinct doc_id; ``group_id`` is the
 least doc_id of the group, the one that is kept.
@@ -116,29 +119,30 @@ def _most_different(values: int, threshold: float) -> int:
     return int(max(values, CHECKED) * (1 - threshold) * 0.75)
 
 
+def leaders_of(codes: np.ndarray, most: int) -> np.ndarray:
+    """For each row the row that it is linked to, or itself."""
+    leader = np.arange(len(codes))
+    left = leader.copy()
+    table = np.ascontiguousarray(codes.T)
+    at = 0
+    while at < len(left):
+        own = left[at]
+        if leader[own] == own:
+            like = (different(table[:, at + 1 :], table[:, at : at + 1], 0) <= most) & (leader[left[at + 1 :]] == left[at + 1 :])
+            leader[left[at + 1 :][like]] = own
+            if 2 * np.count_nonzero(like) > len(like):  # of what is left a table of its own
+                stay = np.append(np.full(at + 1, False), ~like)
+                left, table, at = left[stay], np.ascontiguousarray(table[:, stay]), 0
+                continue
+        at += 1
+    return leader
+
+
 def _link(values: int, threshold: float):
     """Rows (``bucket, block, blocks, doc_id, code``) in order of bucket, block and doc: links each to a leader of its block (``a, b``), or makes it
     one.  Leaders of buckets with several blocks are given back too, without ``b``."""
     words, most = max(values, CHECKED) // 32, _most_different(values, threshold)
 
-    def leaders_of(codes: np.ndarray) -> np.ndarray:
-        """For each row the row that it is linked to, or itself."""
-        leader = np.arange(len(codes))
-        left = leader.copy()
-        table = np.ascontiguousarray(codes.T)
-        at = 0
-        while at < len(left):
-            own = left[at]
-            if leader[own] == own:
-                like = (different(table[:, at + 1 :], table[:, at : at + 1], 0) <= most) & (leader[left[at + 1 :]] == left[at + 1 :])
-                leader[left[at + 1 :][like]] = own
-                if 2 * np.count_nonzero(like) > len(like):  # of what is left a table of its own
-                    stay = np.append(np.full(at + 1, False), ~like)
-                    left, table, at = left[stay], np.ascontiguousarray(table[:, stay]), 0
-                    continue
-            at += 1
-        return leader
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the leaders of the group that the last batch ended in
 
@@ -157,7 +161,7 @@ def _link(values: int, threshold: float):
             size = np.diff(np.append(begin, len(bucket)))
             leader = np.arange(len(ids))
             for first, n in zip(begin[size >= LARGE].tolist(), size[size >= LARGE].tolist(), strict=True):
-                leader[first : first + n] = first + leaders_of(codes[first : first + n])
+                leader[first : first + n] = first + leaders_of(codes[first : first + n], most)
             left = np.flatnonzero(np.repeat(size < LARGE, size))
             group = np.repeat(np.arange(len(size)), size)
             while len(left):
@@ -218,8 +222,8 @@ def _cross(values: int, threshold: float):
     return run
 
 
-def links(sketched: DataFrame, values: int, threshold: float, block: int = BLOCK) -> DataFrame:
-    """``a, b``: pairs of similar documents that tie every group together."""
+def candidates(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` of documents of one signature, and ``bucket, doc_id, n`` of one of each signature, where a bucket has ``n`` of them, two at least."""
     some = sketched.where("code is not null")
     # Equal signatures collapse to the least id.  Only ids and hashes move; a hot
     # signature is a skewed join of 24-byte rows, not an array.
@@ -229,7 +233,13 @@ def links(sketched: DataFrame, values: int, threshold: float, block: int = BLOCK
     apart = some.join(same.select(F.col("b").alias("doc_id")), "doc_id", "left_semi")
     buckets = apart.select("doc_id", F.explode("bands").alias("bucket"))
     counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    company = buckets.join(counts, "bucket").withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
+    return exact, stored(buckets.join(counts, "bucket").select("bucket", "doc_id", "n"), "company")
+
+
+def links(sketched: DataFrame, exact: DataFrame, company: DataFrame, values: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """``a, b``: ``exact``, and of each bucket the links to leaders; :func:`links_between` finds those that these leave open."""
+    some = sketched.where("code is not null")
+    company = company.withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
     company = company.withColumn("block", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")))
     meeting = company.join(some.select("doc_id", "code"), "doc_id").select("bucket", "block", "blocks", "doc_id", "code")
     met = meeting.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "doc_id").mapInArrow(_link(values, threshold), "a long, b long, bucket long, block long, other long, code binary")
@@ -246,6 +256,87 @@ def links(sketched: DataFrame, values: int, threshold: float, block: int = BLOCK
     return exact.unionByName(near).where("a != b").distinct()
 
 
+def _between(values: int, threshold: float):
+    """Pairs of groups (``a, b``) that a pair of similar rows (``doc_id, root, visits, code``) joins: rows that visit with those that don't, or all
+    with all if none does.
+
+    The rows of the fewer groups are cut into balls around leaders.  The number of unequal values is a metric, so a row is compared only with
+    those of a ball whose distance from the leader differs from its own by no more than alike ones may."""
+    most = _most_different(values, threshold)
+
+    def run(table: pa.Table) -> pa.Table:
+        root = table.column("root").to_numpy()
+        visits = table.column("visits").to_numpy(zero_copy_only=False).astype(bool)
+        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint64).reshape(len(root), -1)
+        one = not visits.any()
+        x, y = (np.arange(len(root)),) * 2 if one else (np.flatnonzero(~visits), np.flatnonzero(visits))
+        if len(np.unique(root[x])) > len(np.unique(root[y])):
+            x, y = y, x
+        x = x[np.argsort(root[x], kind="stable")]
+        begin = np.flatnonzero(np.append(True, root[x][1:] != root[x][:-1])) if len(x) else []
+        out: list[tuple[int, int]] = []
+        for own in np.split(x, begin[1:]):
+            if one and len(own) == 1:  # single rows are leaders and have met, and groups of several meet them
+                continue
+            left = y[root[y] != root[own[0]]]
+            leader = leaders_of(codes[own], most)
+            for at in np.unique(leader):
+                if len(left) == 0:
+                    break
+                ball = own[leader == at]
+                near, far = (different(codes[rows], codes[own[at]][None]) for rows in (ball, left))
+                some = far <= most + near.max()
+                hits = _joined_roots(codes, root, ball, near, left[some], far[some], most)
+                out += [(int(root[own[0]]), r) for r in hits]
+                left = left[~np.isin(root[left], hits)] if hits else left
+            if one:
+                y = y[root[y] != root[own[0]]]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+def _joined_roots(codes: np.ndarray, root: np.ndarray, ball: np.ndarray, near: np.ndarray, others: np.ndarray, far: np.ndarray, most: int) -> list[int]:
+    """The roots of those ``others`` that resemble a row of the ball; ``near`` and ``far`` are the distances from its leader."""
+    out: list[int] = []
+    if len(ball) <= len(others):
+        for own, r in zip(ball, near, strict=True):
+            at = others[np.abs(far - r) <= most]
+            hits = np.unique(root[at[different(codes[at], codes[own][None]) <= most]])
+            if len(hits):
+                out += hits.tolist()
+                stay = ~np.isin(root[others], hits)
+                others, far = others[stay], far[stay]
+        return out
+    for other, r in zip(others, far, strict=True):
+        if root[other] not in out and (different(codes[ball[np.abs(near - r) <= most]], codes[other][None]) <= most).any():
+            out.append(int(root[other]))
+    return out
+
+
+def links_between(sketched: DataFrame, company: DataFrame, found: DataFrame, values: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """``a, b``: groups of ``found`` (``doc_id, group_id``) that belong together, as documents of theirs that are not leaders are alike.
+
+    A bucket of one group, or whose rows are each a group of its own (all leaders), is settled.  In others all pairs of different groups meet but
+    pairs of single rows: the rows outside the largest group, or those of groups of several if they are fewer, visit all.  If a bucket has more
+    than ``block`` rows, visitors and visited are both cut into blocks."""
+    rows = stored(company.where("n > 2").join(found, "doc_id", "left").select("bucket", "doc_id", F.coalesce("group_id", "doc_id").alias("root")), "roots")
+    per = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    several = F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0).cast("long"))
+    open_ = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("c").alias("n"), F.max("c").alias("largest"), F.max_by("root", F.struct("c", "root")).alias("main"), several.alias("several")).where("1 < groups and groups < n")
+    open_ = open_.withColumn("outside", F.col("n") - F.col("largest") <= F.col("several"))
+    open_ = open_.withColumn("blocks", F.ceil(F.col("n") / block).cast("long")).withColumn("parts", F.ceil(F.least(F.col("n") - F.col("largest"), "several") / block).cast("long"))
+    every, rows = rows, stored(rows.join(open_.drop("groups", "largest", "several"), "bucket").join(per, ["bucket", "root"]), "open")
+    dropped(every)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks"))).withColumn("part", F.expr("block * parts div blocks"))
+    no = F.lit(0).cast("long")
+    own = rows.withColumn("part", F.explode(F.sequence(no, F.col("parts") - 1))).withColumn("visits", F.lit(False))
+    guests = rows.where("blocks > 1 and if(outside, root <> main, c > 1)").withColumn("block", F.explode(F.sequence(no, F.col("blocks") - 1))).withColumn("visits", F.lit(True))
+    meeting = own.unionByName(guests).select("bucket", "block", "part", "doc_id", "root", "visits")
+    meeting = meeting.join(sketched.select("doc_id", "code"), "doc_id")
+    return meeting.groupBy("bucket", "block", "part").applyInArrow(_between(values, threshold), "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``doc_id, group_id``: the least id that each id of the undirected ``edges`` (``a, b``) is joined to.
 
@@ -271,7 +362,14 @@ def components(edges: DataFrame) -> DataFrame:
 def groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, values: int = 128, rows_per_band: int = 4, threshold: float = 0.55, block: int = BLOCK) -> DataFrame:
     """``doc_id, group_id, keep`` for every distinct, non-null doc_id."""
     sketched = stored(sketches(df, id_column, text_column, shingle, values, rows_per_band), "sketches")
-    found = components(links(sketched, values, threshold, block))
+    exact, company = candidates(sketched)
+    found = components(links(sketched, exact, company, values, threshold, block))
+    between = stored(links_between(sketched, company, found, values, threshold, block), "between")
+    if not between.isEmpty():
+        joined = components(between).select(F.col("doc_id").alias("group_id"), F.col("group_id").alias("least"))
+        # A document alone may now be in a group too.
+        found = found.unionByName(joined.select(F.col("group_id").alias("doc_id"), "group_id")).distinct()
+        found = found.join(joined, "group_id", "left").select("doc_id", F.coalesce("least", "group_id").alias("group_id"))
     ids = sketched.select("doc_id").distinct()
     return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id")).withColumn("keep", F.col("group_id") == F.col("doc_id"))
 

@@ -342,6 +342,34 @@ def test_leaders_are_those_of_a_plain_loop(cut):
     assert heads == [(i, bucket[i], codes[i].tobytes()) for i in range(900) if bucket[i] % 2 and i not in dict(want)]
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_groups_are_joined_by_any_similar_rows(seed):
+    rng = np.random.default_rng(seed)
+    random = lambda n: rng.integers(0, 2**63, (n, 1024), dtype=np.uint64)
+    base, chance = random(6), lambda *shares: rng.random((60, 1024)) < rng.choice(shares, 60)[:, None]
+    signature = np.where(chance(0, 0.1, 0.2, 0.3), random(60), base[rng.integers(0, 6, 60)])
+    codes = minhash.packed(np.where(chance(0, 0.3, 0.45, 0.5), base[rng.integers(0, 6, 60)], signature))
+    root = np.arange(60)
+    for i in range(60):
+        root[i] = root[rng.integers(0, i + 1)] if rng.random() < 0.6 else i
+    like = np.array([minhash.different(codes, codes[[i]]) for i in range(60)]) <= int(1024 * 0.45 * 0.75)
+    several = np.bincount(root, minlength=60)[root] > 1
+
+    def joined(pairs):
+        of = dict(zip(root.tolist(), root.tolist()))
+        for a, b in pairs:
+            lo, hi = sorted((of[a], of[b]))
+            of = {k: lo if v == hi else v for k, v in of.items()}
+        return of
+
+    for visits in (np.full(60, False), rng.random(60) < 0.5):
+        meet = visits[:, None] != visits if visits.any() else several[:, None] | several
+        got = minhash._between(128, 0.55)(pa.table({"doc_id": np.arange(60), "root": root, "visits": visits, "code": pa.array([c.tobytes() for c in codes], pa.binary())}))
+        pairs = list(zip(got["a"].to_pylist(), got["b"].to_pylist()))
+        assert joined(pairs) == joined((root[i], root[j]) for i, j in np.argwhere(like & meet))
+        assert all(like[np.ix_(root == a, root == b)].any() for a, b in pairs)
+
+
 @pytest.mark.parametrize("before", ["server ", "Server: ", "over ", "aktiv ", "Treiber_v "])
 def test_an_address_behind_a_word_that_ends_like_version_is_found(before):
     assert [(k, a) for a, _, k in anchors.find(f"{before}10.0.0.1 up")] == [("ip", len(before))]

@@ -1,6 +1,7 @@
 """Operators on tables: edge cases, and the pipeline."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,29 @@ def test_near_duplicates_in_blocks_of_a_hot_bucket(spark):
     assert {tuple(r) for r in minhash.groups(df, block=20).collect()} == {tuple(r) for r in minhash.groups(df).collect()}
 
 
+def groups_of_all_pairs(texts):
+    """For each text the first of those that it is joined to, by comparing all pairs that share a bucket."""
+    _, signature = minhash.signatures(pa.array(texts, pa.large_string()), 3, minhash.CHECKED)
+    codes, bands, most = minhash.packed(signature), minhash.band_hashes(signature[:, :128], 4), int(minhash.CHECKED * 0.45 * 0.75)
+    group = np.arange(len(texts))
+    for i in range(len(texts)):
+        like = (minhash.different(codes, codes[[i]]) <= most) & (bands == bands[i]).any(1)
+        for g in np.unique(group[like]):
+            group[np.isin(group, (g, group[i]))] = min(g, group[i])
+    return group.tolist()
+
+
+@pytest.mark.parametrize("block", [8192, 40])
+def test_near_duplicates_lose_no_link_of_a_document_that_is_no_leader(spark, block):
+    """Documents of passages in common, many of which are alike only through others."""
+    rng = np.random.default_rng(4)
+    passages = [" ".join(f"s{i}x{j}" for j in range(8)) for i in range(60)]
+    texts = [" . ".join(s for s, k in zip(passages, rng.random(60) < 0.62) if k) for _ in range(300)]
+    want = groups_of_all_pairs(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [g for _, g in sorted((r.doc_id, r.group_id) for r in minhash.groups(df, block=block).collect())] == want
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")
