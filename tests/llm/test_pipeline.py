@@ -14,6 +14,7 @@ if importlib.util.find_spec("corpus_pipeline") is None:
 import corpus_pipeline as P
 
 from .test_brute_force import plain_found, shingles_of, statistics_of
+from .test_operators import groups_of_all_pairs
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -94,3 +95,13 @@ def test_every_stage_does_what_brute_force_does(spark, tmp_path):
     covered = lambda df: sorted(x for r in df.collect() for x in zip(r.doc_ids, r.starts, r.lengths))
     total = lambda pieces: {d: sum(n for e, _, n in pieces if e == d) for d, _, _ in pieces}
     assert total(covered(P.run(spark, SF))) == total(covered(after))
+
+
+def test_near_duplicates_keeps_one_of_each_group_of_all_pairs(spark):
+    """Passages in common: many documents are joined only through one that is no leader."""
+    rng = np.random.default_rng(11)
+    passages = [" ".join(f"s{i}x{j}" for j in range(8)) for i in range(60)]
+    texts = [" . ".join(s for s, k in zip(passages, rng.random(60) < 0.62) if k) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = rows(P.near_duplicates(spark, docs, SF))
+    assert sorted(r[0] for r in got) == sorted(set(groups_of_all_pairs(texts))) and all(r[1] == texts[r[0]] for r in got)
