@@ -370,6 +370,13 @@ def test_groups_are_joined_by_any_similar_rows(seed):
         assert all(like[np.ix_(root == a, root == b)].any() for a, b in pairs)
 
 
+def test_a_block_of_visitors_alone_joins_nothing():
+    codes = pa.array([bytes(256)] * 2, pa.binary())
+    for visits in (True, False):
+        got = minhash._between(128, 0.55)(pa.table({"doc_id": [0, 1], "root": [0, 1], "visits": [visits] * 2, "code": codes}))
+        assert len(got) == 0
+
+
 @pytest.mark.parametrize("before", ["server ", "Server: ", "over ", "aktiv ", "Treiber_v "])
 def test_an_address_behind_a_word_that_ends_like_version_is_found(before):
     assert [(k, a) for a, _, k in anchors.find(f"{before}10.0.0.1 up")] == [("ip", len(before))]

@@ -105,3 +105,21 @@ def test_near_duplicates_keeps_one_of_each_group_of_all_pairs(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
     got = rows(P.near_duplicates(spark, docs, SF))
     assert sorted(r[0] for r in got) == sorted(set(groups_of_all_pairs(texts))) and all(r[1] == texts[r[0]] for r in got)
+
+
+def test_near_duplicates_finds_every_link_above_the_threshold(spark):
+    """Pairs of similarity 0.63: 32 buckets of four values leave out about one of 240."""
+    text = lambda i, own: " ".join([f"w{i}x{j}" for j in range(78)] + [f"{own}{i}x{j}" for j in range(22)])
+    texts = [text(i // 2, "ab"[i % 2]) for i in range(4000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in P.near_duplicates(spark, docs, SF).select("doc_id").collect()) == list(range(0, 4000, 2))
+
+
+def test_near_duplicates_with_an_id_of_which_one_row_is_empty(spark):
+    """Documents that are joined only through others are compared again; what has no words takes no part."""
+    passages = [" ".join(f"s{i}x{j}" for j in range(8)) for i in range(60)]
+    rng = np.random.default_rng(11)
+    texts = [" . ".join(s for s, k in zip(passages, rng.random(60) < 0.62) if k) for _ in range(300)]
+    odd = [(i, "", "en", "s", 0) for i in range(0, 300, 3)] + [(i, None, "en", "s", None) for i in range(1, 300, 3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + odd, SCHEMA)
+    assert sorted({r[0] for r in rows(P.near_duplicates(spark, docs, SF))}) == sorted(set(groups_of_all_pairs(texts)))
