@@ -3,6 +3,7 @@
 import importlib.util
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,21 @@ def test_near_duplicates_with_an_id_of_which_one_row_is_empty(spark):
     odd = [(i, "", "en", "s", 0) for i in range(0, 300, 3)] + [(i, None, "en", "s", None) for i in range(1, 300, 3)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + odd, SCHEMA)
     assert sorted({r[0] for r in rows(P.near_duplicates(spark, docs, SF))}) == sorted(set(groups_of_all_pairs(texts)))
+
+
+@pytest.mark.parametrize("name,stage", P.STAGES)
+def test_stages_send_texts_to_python_in_small_batches(spark, name, stage):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    texts = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("some text "), 4000).alias("t"))
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        stage(spark, spark.createDataFrame([], SCHEMA), SF)
+        sent = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+        assert max(sent) < 6 << 20 and sum(sent) > 15 << 20
+        spark.conf.set(key, "64m")
+        stage(spark, spark.createDataFrame([], SCHEMA), SF)
+        assert spark.conf.get(key) == "64m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
