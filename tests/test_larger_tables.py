@@ -27,3 +27,12 @@ def both(spark, sf, name):
 def test_streamed_flags_of_a_folder_of_files(spark, tmp_path, files):
     ours, theirs = both(spark, documents(spark, tmp_path / "sf", ["you bitch", "all is well", "so ein arschloch", "fine"] * 5, files), "streamed_flags")
     assert ours == theirs and len(ours) == 20 and sum(r[1] for r in ours) == 10
+
+
+GERMAN = ["FÜR alles andere Wetter kommt", "Für alles andere Wetter kommt", "für alles andere Wetter kommt", "fur alles andere Wetter kommt", "xfür alles andere Wetter kommt", "FÜRS alles andere Wetter kommt", "the ıst andere Wetter kommt"]
+
+
+def test_language_guess_of_capitals(spark, tmp_path):
+    sf = documents(spark, tmp_path / "sf", GERMAN)
+    ours, theirs = both(spark, sf, "language_guess")
+    assert ours == theirs and [g for _, g in ours] == ["de"] * 3 + ["en"] * 4
