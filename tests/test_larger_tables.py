@@ -36,3 +36,8 @@ def test_language_guess_of_capitals(spark, tmp_path):
     sf = documents(spark, tmp_path / "sf", GERMAN)
     ours, theirs = both(spark, sf, "language_guess")
     assert ours == theirs and [g for _, g in ours] == ["de"] * 3 + ["en"] * 4
+
+
+def test_notice_wording_of_capitals(spark, tmp_path):
+    ours, theirs = both(spark, documents(spark, tmp_path / "sf", GERMAN), "notice_wording")
+    assert ours == theirs and sorted(n for *_, n in ours) == [3, 4]
