@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwarden import queries, queries_more
+from sparkwarden.functions import pii
 
 EVERY, SQL = queries.QUERIES | queries_more.QUERIES, queries.ORACLE_SQL | queries_more.ORACLE_SQL
 
@@ -41,3 +42,22 @@ def test_language_guess_of_capitals(spark, tmp_path):
 def test_notice_wording_of_capitals(spark, tmp_path):
     ours, theirs = both(spark, documents(spark, tmp_path / "sf", GERMAN), "notice_wording")
     assert ours == theirs and sorted(n for *_, n in ours) == [3, 4]
+
+
+#: Numbers that stand close together are one, but for a phone number that is whole.
+PHONES = [
+    "call +1 (208) 555-1177 4284896609045836 now", "+1 (836) 555-9331 4913187196670932 53.121.55.90", "4702217622377057 +1 (318) 555-6532", "25.102.19.31 +1 (208) 555-1177\n53.121.55.90",
+    "+1 (208) 555-1177 +1 (208) 555-1178", "+1 (208) 555-1177 00d9ceff5950", "+1 (208) 555-1177", "no +1 (208)", "none", "",
+]
+
+
+def test_phone_shapes_before_another_number(spark, tmp_path):
+    ours, theirs = both(spark, documents(spark, tmp_path / "sf", PHONES), "phone_shapes")
+    assert ours == theirs and [n for _, n, _ in ours] == [1, 1, 1, 1, 2, 1, 1]
+
+
+def test_whole_phone_numbers_leave_other_findings_as_they_were():
+    kinds = lambda text: [(f.kind, f.text) for f in pii.detect(text)]
+    assert kinds(PHONES[1]) == [("phone", "+1 (836) 555-9331"), ("ip", "53.121.55.90")]
+    assert kinds("+1 (208) 555-11775") == [("phone", "+1 (208) 555-11775")] and kinds("+1 (208) 555-1177x") == []
+    assert kinds("+49 170 1234567") == [("phone", "+49 170 1234567")] and kinds("(030) 123456") == [("phone", "(030) 123456")]
