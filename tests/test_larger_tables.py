@@ -61,3 +61,8 @@ def test_whole_phone_numbers_leave_other_findings_as_they_were():
     assert kinds(PHONES[1]) == [("phone", "+1 (836) 555-9331"), ("ip", "53.121.55.90")]
     assert kinds("+1 (208) 555-11775") == [("phone", "+1 (208) 555-11775")] and kinds("+1 (208) 555-1177x") == []
     assert kinds("+49 170 1234567") == [("phone", "+49 170 1234567")] and kinds("(030) 123456") == [("phone", "(030) 123456")]
+
+
+def test_pii_by_kind_with_numbers_side_by_side(spark, tmp_path):
+    ours, theirs = both(spark, documents(spark, tmp_path / "sf", PHONES), "pii_by_kind")
+    assert ours == theirs and dict(ours) == {"phone": 8, "ip": 3}
