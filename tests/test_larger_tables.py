@@ -66,3 +66,8 @@ def test_whole_phone_numbers_leave_other_findings_as_they_were():
 def test_pii_by_kind_with_numbers_side_by_side(spark, tmp_path):
     ours, theirs = both(spark, documents(spark, tmp_path / "sf", PHONES), "pii_by_kind")
     assert ours == theirs and dict(ours) == {"phone": 8, "ip": 3}
+
+
+def test_run_totals_with_numbers_side_by_side(spark, tmp_path):
+    ours, theirs = both(spark, documents(spark, tmp_path / "sf", PHONES), "run_totals")
+    assert ours == theirs
