@@ -71,3 +71,10 @@ def test_pii_by_kind_with_numbers_side_by_side(spark, tmp_path):
 def test_run_totals_with_numbers_side_by_side(spark, tmp_path):
     ours, theirs = both(spark, documents(spark, tmp_path / "sf", PHONES), "run_totals")
     assert ours == theirs
+
+
+def test_cues_are_no_pieces_of_words_cut_by_the_window():
+    kinds = lambda text: [f.text for f in pii.detect(text, pii.PiiOptions(("phone",), context_window=8))]
+    assert kinds("als 16.154.196.162 so der telicher") == [] and kinds("ein hotel ja is 16.154.196.162") == []
+    assert kinds("1701234567 so der telicher") == [] and kinds("1701234567 nur so tel") == [] and kinds("1701234567 so, tel") == ["1701234567"]
+    assert kinds("hotel is 1701234567") == [] and kinds("tel geht 1701234567") == [] and kinds("tel ja: 1701234567") == ["1701234567"]
