@@ -1,12 +1,17 @@
 """What tables other than the small ones hold: folders of files, capitals, numbers side by side."""
 
+import sys
+
 import duckdb
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sparkwarden import queries, queries_more
-from sparkwarden.functions import pii
+from sparkwarden.functions import columns, pii
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EVERY, SQL = queries.QUERIES | queries_more.QUERIES, queries.ORACLE_SQL | queries_more.ORACLE_SQL
 
 
@@ -78,3 +83,24 @@ def test_cues_are_no_pieces_of_words_cut_by_the_window():
     assert kinds("als 16.154.196.162 so der telicher") == [] and kinds("ein hotel ja is 16.154.196.162") == []
     assert kinds("1701234567 so der telicher") == [] and kinds("1701234567 nur so tel") == [] and kinds("1701234567 so, tel") == ["1701234567"]
     assert kinds("hotel is 1701234567") == [] and kinds("tel geht 1701234567") == [] and kinds("tel ja: 1701234567") == ["1701234567"]
+
+
+def test_first_samples_goes_to_python_once_and_in_small_batches(spark, tmp_path, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(columns, "BATCH_BYTES", 64 << 10)
+    sf = documents(spark, tmp_path / "sf", [("so a bitch is " if i % 7 == 0 else "all is well ") + "x" * 1000 for i in range(900)])
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        rows = queries.first_samples(spark, sf)
+        assert spark.conf.get(key) == str(64 << 10)
+        assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        assert [tuple(r) for r in rows.collect()] == [(7 * i, True) for i in range(20)]
+        rows_of = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+        sent = [r.n for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").mapInArrow(rows_of, "n long").collect()]
+        assert max(sent) < 200 and sum(sent) == 900
+        spark.conf.set(key, "1000000")
+        queries.first_samples(spark, sf)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
